@@ -21,11 +21,13 @@ from .storage import materialise
 
 #: Units handled at once; longer documents are cut, with W - 1 units of overlap.
 PIECE = 1 << 19
+#: Lengths and places in a block are kept in 16 bits.
+WINDOW_AT_MOST = 1 << 15
 _LOW = np.uint64((1 << 22) - 1)
-BLOCKS = "anchor long, content long, doc_id long, pos int, len int, at int"
-BODIES = BLOCKS + ", n long, body binary"
+#: spot: the block's first unit (32 bits), its length and its seed's place in it (16 bits each).
+BLOCKS = "anchor long, content long, doc_id long, spot long"
 #: Bytes of block text that one pass of a shard holds.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 
 
 def anchored_blocks(values: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -60,7 +62,7 @@ def block_reader(units: Callable, window: int, seed: int) -> Callable[[Iterable[
         for rows, data, offs in slices(batches):
             anchor, content, doc, pos, size, at = anchored_blocks(*units(data, offs), window, seed)
             ids = rows.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(ids[doc].astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32))], names=["anchor", "content", "doc_id", "pos", "len", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(ids[doc].astype(np.int64)), pa.array(pos << 32 | size << 16 | at)], names=["anchor", "content", "doc_id", "spot"])
 
     return read
 
@@ -86,13 +88,14 @@ def body_cutter(spans: Callable, units: Callable, window: int, longer_seed: int,
             col = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
             doc = np.repeat(np.arange(rows.num_rows), counts)
             ids = rows.column(rows.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)[doc]
-            anchor, content, pos, size, at, n, seen = (col[k] for k in ("anchor", "content", "pos", "len", "at", "n", "seen"))
-            sub_pos, sub_size = pos.astype(np.int64), size.astype(np.int64)
+            anchor, content, spot, n, seen = (col[k] for k in ("anchor", "content", "spot", "n", "seen"))
+            pos, size, at = spot >> 32, (spot >> 16) & 0xFFFF, spot & 0xFFFF
+            sub_pos, sub_size = pos, size
             values, starts = units(data, offs)
             if (hot := np.flatnonzero(seen > crowd)).size:
                 cool = np.flatnonzero(seen <= crowd)
-                own = np.concatenate([[0], np.cumsum(size[hot])]).astype(np.int64)
-                picked = values[np.repeat(starts[doc[hot]] + pos[hot], size[hot]) + runs(size[hot].astype(np.int64))]
+                own = np.concatenate([[0], np.cumsum(size[hot])])
+                picked = values[np.repeat(starts[doc[hot]] + pos[hot], size[hot]) + runs(size[hot])]
                 key, _, of, p, length, seed_at = anchored_blocks(picked, own, window, longer_seed)
                 take = np.concatenate([cool, hot[of]])
                 anchor = np.concatenate([anchor[cool], anchor[hot[of]] ^ key])
@@ -171,12 +174,14 @@ def shard_reader(solve: Callable) -> Callable[[Iterable[pa.RecordBatch]], Iterat
 
 def repeated_spans(docs: DataFrame, units: Callable, spans: Callable, solve: Callable, *, window: int, seed: int, longer_seed: int, crowd: int, first_place: Column) -> DataFrame:
     """doc_id and the unit spans to remove, as an array of (s, e), for documents that have any."""
+    if not 2 <= window < WINDOW_AT_MOST:
+        raise ValueError(f"a window has 2 to {WINDOW_AT_MOST - 1} units")
     repeated = repeated_blocks(docs, units, window, seed)
-    distinct = repeated.groupBy("anchor", "content", "len", "at").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"), F.max("seen").alias("seen"))
-    by_doc = distinct.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", F.col("first.pos").alias("pos"), "len", "at", "n", "seen")).alias("blocks"))
+    distinct = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "spot")).alias("first"), F.max("seen").alias("seen"))
+    by_doc = distinct.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", F.col("first.spot").alias("spot"), "n", "seen")).alias("blocks"))
     bodies = docs.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "blocks").mapInArrow(body_cutter(spans, units, window, longer_seed, crowd), SHARDS)
     found = bodies.repartition("shard").sortWithinPartitions("shard").mapInArrow(shard_reader(solve), FOUND)
-    placed = repeated.select("anchor", "content", "doc_id", "pos").join(found, ["anchor", "content"])
+    placed = repeated.select("anchor", "content", "doc_id", F.shiftright("spot", 32).cast("int").alias("pos")).join(found, ["anchor", "content"])
     spans_here = F.transform(F.when(first_place, F.col("own")).otherwise(F.col("others")), lambda x: F.struct((x["s"] + F.col("pos")).alias("s"), (x["e"] + F.col("pos")).alias("e")))
     return placed.select("doc_id", spans_here.alias("spans")).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

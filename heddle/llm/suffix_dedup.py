@@ -29,8 +29,8 @@ from .arrays import slices, string_buffers
 from .seeds import repeated_spans, span_mask
 
 LENGTH = 100
-SEED, LONGER_SEED = 32, 96
-#: A seed seen more often than this is cut by LONGER_SEED.
+SEED = 24
+#: A seed seen more often than this is cut again by seeds four bytes shorter than the whole.
 CROWD = 20_000
 _SEPARATOR = 0xFF  # in no UTF-8 text
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -75,28 +75,43 @@ def prefix_borders(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
     """True where a suffix and the one before it share fewer than ``depth`` bytes, by backward extension of intervals."""
     n = len(text)
     bwt = text[order - 1]
-    by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, dtype=np.int64)  # from a suffix to the one that begins a byte earlier
-    step[by_byte] = np.arange(n)
-    head = np.sort(bwt)  # the first byte of each suffix
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)  # from a suffix to the one that begins a byte later
+    step = np.empty(n, dtype=np.int32)  # and the other way
+    step[by_byte] = np.arange(n, dtype=np.int32)
+    first = np.sort(bwt)
+    new_byte = np.ones(n + 1, dtype=bool)
+    new_byte[1:n] = first[1:] != first[:-1]
     border = np.zeros(n + 1, dtype=bool)
     border[0] = border[n] = True
-    owner = np.full(n + 1, -1, dtype=np.int64)
+    owner = np.full(n + 2, -1, dtype=np.int32)
     left, right = np.array([0]), np.array([n])
     for _ in range(depth):
         size = right - left
         total = int(size.sum())
         if not total:
             break
-        of = np.repeat(np.arange(len(left)), size)
-        here = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + left[of]
-        there = step[here]
-        owner[there] = of
-        begins = (there == 0) | (owner[there - 1] != of) | (head[there - 1] != head[there])
-        after = np.minimum(there + 1, n - 1)
-        ends = (there == n - 1) | (owner[after] != of) | (head[after] != head[there])
-        owner[there] = -1
-        left, right = np.sort(there[begins]), np.sort(there[ends]) + 1
+        ids = np.arange(len(left), dtype=np.int32)
+        if total * 4 > n:  # most suffixes are in some interval: take them in their order after the step
+            gaps = np.empty(2 * len(left) + 1, dtype=np.int64)
+            gaps[1::2], gaps[0], gaps[2:-1:2], gaps[-1] = size, left[0], left[1:] - right[:-1], n - right[-1]
+            names = np.full(2 * len(left) + 1, -1, dtype=np.int32)
+            names[1::2] = ids
+            of = np.repeat(names, gaps)[by_byte]
+            starts = new_byte[:n].copy()
+            starts[1:] |= of[1:] != of[:-1]
+            left = np.flatnonzero(starts)
+            right = np.append(left[1:], n)
+            held = of[left] >= 0
+            left, right = left[held], right[held]
+        else:
+            of = np.repeat(ids, size)
+            here = np.arange(total) - np.repeat(np.cumsum(size) - size - left, size)
+            there = step[here]
+            owner[there + 1] = of
+            begins = new_byte[there] | (owner[there] != of)
+            ends = new_byte[there + 1] | (owner[there + 2] != of)
+            owner[there + 1] = -1
+            left, right = np.sort(there[begins]), np.sort(there[ends]) + 1
         fresh = ~border[right]
         left, right = left[fresh], right[fresh]
         border[right] = True
@@ -133,10 +148,9 @@ def repeats_in_shard(length: int):
         later[:1] = False
         later[1:] = g[1:] == g[:-1]
         own = joined(r[first][later], o[first][later], length)
-        # a block met more than once, or sharing its windows, repeats in every later place
-        many = count[row] > 1
-        others = joined(row[many], off[many], length)
-        return own, others
+        # a block met more than once makes the intervals of all its windows weigh two or more: its later places go whole
+        many = np.flatnonzero(count > 1)
+        return own, (many, np.zeros(len(many), np.int64), size[many])
 
     return solve
 
