@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -127,23 +128,26 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and the tokens that became final."""
-        walks, cut = [], None
+        paths, cut = [], None
+        children, ends, apart = self._next, self._ends, self.merges.apart
         for held, last, node in self._states[state]:
-            node = self._next[node].get(byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            token = self._ends[node]
-            if token >= 0 and cut is None and (last < 0 or self.merges.apart(last, token)):
+            if cut is None and (token := ends[node]) >= 0 and (last < 0 or apart(last, token)):
                 cut = ((*held, token), token, 0)
-            if self._next[node]:
-                walks.append((held, last, node))
-        paths = [*walks, cut]
-        shared = 0
-        shortest = min(len(p[0]) for p in paths)
-        while shared < shortest and len({p[0][shared] for p in paths}) == 1:
-            shared += 1
-        final = cut[0][:shared]
-        key = tuple((held[shared:], last, node) for held, last, node in paths)
+            if children[node]:
+                paths.append((held, last, node))
+        paths.append(cut)
+        final = cut[0]
+        for held, _, _ in paths:  # the start that all paths share
+            if len(held) < len(final):
+                final = final[: len(held)]
+            while final and held[: len(final)] != final:
+                final = final[:-1]
+        if shared := len(final):
+            paths = [(held[shared:], last, node) for held, last, node in paths]
+        key = tuple(paths)
         number = self._numbers.get(key)
         if number is None:
             number = self._numbers[key] = len(self._states)
@@ -161,10 +165,12 @@ class Transducer:
             to = moves.get(key)
             if to is None:
                 to = moves[key] = self._move(state, byte)
-            state = to[0]
-            if to[1]:
-                out.extend(to[1])
-        return out + list(self._states[state][-1][0]) if piece else out
+            state, final = to
+            if final:
+                out += final
+        if piece:
+            out += self._states[state][-1][0]
+        return out
 
 
 class _Pieces(dict):
@@ -179,7 +185,7 @@ class _Pieces(dict):
         raw = piece.encode("utf-8")
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else self.coder.encode(raw)
-        self[piece] = found = np.asarray(ids, dtype="<u4").tobytes()
+        self[piece] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 

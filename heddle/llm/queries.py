@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import bpe, substring_dedup, suffix_dedup
 
-_MODULES = (suffix_dedup, substring_dedup)
+_MODULES = (suffix_dedup, substring_dedup, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
