@@ -30,6 +30,20 @@ BLOCKS = "anchor long, content long, doc_id long, spot long"
 SHARD_BYTES = 1 << 19
 
 
+#: Stands for a null doc_id while documents are joined: a key that can't be null lets both joins share one shuffle.
+NO_ID = -(1 << 63)
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str) -> DataFrame:
+    """Keyed documents with their spans, through ``cut``; null ids come back."""
+    done = docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return done.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+
+
 def anchored_blocks(values: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
     """Blocks of a slice of documents: seed hash, content hash, document (row in the slice), start, length, seed's place."""
     parts: list[tuple[np.ndarray, ...]] = []
@@ -69,7 +83,7 @@ def block_reader(units: Callable, window: int, seed: int) -> Callable[[Iterable[
 
 def repeated_blocks(docs: DataFrame, units: Callable, window: int, seed: int) -> DataFrame:
     """Every block whose seed is found more than once, with ``seen``, the number of the seed's blocks."""
-    blocks = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(block_reader(units, window, seed), BLOCKS)
+    blocks = docs.filter(F.col("doc_id") != NO_ID).select("doc_id", "text").mapInArrow(block_reader(units, window, seed), BLOCKS)
     seen = blocks.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1")
     return materialise(blocks.join(seen, "anchor"), "repeated-blocks")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import PrefixHash, Words, runs, slices, string_buffers
-from .seeds import repeated_spans, span_mask
+from .seeds import keyed, repeated_spans, span_mask, with_spans
 
 WINDOW = 50
 SEED = 16
@@ -135,15 +135,15 @@ def cut_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removal_spans(documents: DataFrame, window: int = WINDOW, *, seed: int | None = None, crowd: int = CROWD, pairs: int = PAIRS) -> DataFrame:
     """doc_id and the spans of words to remove, as (s, e) in words, for documents that have any."""
     seed = seed or max(1, min(SEED, window // 3))
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = keyed(documents)
     return repeated_spans(docs, word_units, word_spans, repeats_in_shard(window, pairs), window=window, seed=seed, longer_seed=max(seed, window - 1), crowd=crowd, first_place=F.col("doc_id") == F.col("first_doc"))
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW, **how) -> DataFrame:
     """One row per document: RESULT. See the module's docstring for the rule and the edge cases."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = keyed(documents)
     spans = removal_spans(documents, window, **how)
-    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut_words, RESULT)
+    return with_spans(docs, spans, cut_words, RESULT)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import slices, string_buffers
-from .seeds import repeated_spans, span_mask
+from .seeds import keyed, repeated_spans, span_mask, with_spans
 
 LENGTH = 100
 SEED = 24
@@ -194,16 +194,16 @@ def removal_spans(documents: DataFrame, length: int = LENGTH, *, seed: int | Non
     """doc_id and its repeated byte spans (overlapping ones not yet joined), for documents that have any."""
     seed = seed or max(1, min(SEED, length // 3))
     longer_seed = longer_seed or max(seed, length - 4)
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = keyed(documents)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
     return repeated_spans(docs, byte_units, byte_spans, repeats_in_shard(length), window=length, seed=seed, longer_seed=longer_seed, crowd=crowd, first_place=first)
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """One row per document: RESULT. See the module's docstring for the rule and the edge cases."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = keyed(documents)
     spans = removal_spans(documents, length, **how)
-    return docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut_bytes, RESULT)
+    return with_spans(docs, spans, cut_bytes, RESULT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
