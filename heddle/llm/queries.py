@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_crf, substring_dedup, suffix_dedup
+from . import bpe, line_dedup, quality_crf, substring_dedup, suffix_dedup
 
-_MODULES = (suffix_dedup, substring_dedup, quality_crf, bpe)
+_MODULES = (suffix_dedup, line_dedup, substring_dedup, quality_crf, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
