@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, quality_crf, simhash, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, line_dedup, quality_crf, simhash, substring_dedup, suffix_dedup, topk_search
 
-_MODULES = (suffix_dedup, line_dedup, substring_dedup, simhash, quality_crf, decontaminate, bpe)
+_MODULES = (suffix_dedup, line_dedup, substring_dedup, topk_search, simhash, quality_crf, decontaminate, bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
