@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import runs, slices
 
@@ -312,16 +313,18 @@ def digest_rows(path: str, pattern: str):
 
 
 def encode_rows(path: str, pattern: str, keep: list[str]):
-    """mapInArrow: rows with ``text`` to their columns ``keep`` and ``ids``."""
+    """mapInArrow: rows with ``text`` to their columns ``keep``, ids, their number and the digest of the bytes decoded from them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces, _ = _coder(path, pattern)
+        split, pieces, decoder = _coder(path, pattern)
         for rows, _, _ in slices(batches):
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
             ids = [np.frombuffer(b"".join([pieces[p] for p in split(t or "")]), dtype="<u4").astype(np.int32) for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            sizes = [len(x) for x in ids]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(k)) for k in keep), lists], names=[*keep, "ids"])
+            decoded = [hashlib.sha256(decoder.bytes(x)).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(k)) for k in keep), lists, pa.array(sizes, pa.int64()), pa.array(decoded, pa.string())], names=[*keep, "ids", "n_tokens", "decoded_sha256"])
 
     return run
 
@@ -334,12 +337,15 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def bpe_encode(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """df with ``ids``, the tokens of ``text``. The rank file at ``path`` is read on each executor."""
+    """df with ids (the tokens of ``text``), n_tokens and decoded_sha256 in place of ``text`` and of columns so named.
+
+    The rank file at ``path`` is read on each executor.
+    """
     default = default_vocabulary() if path is None or pattern is None else ("", "")
     path, pattern = path or default[0], pattern or default[1]
-    keep = [c for c in df.columns if c != "ids"]
-    schema = df.select(*keep).schema.add("ids", "array<int>")
-    return df.select(*keep).mapInArrow(encode_rows(path, pattern, keep), schema)
+    keep = [c for c in df.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
+    return df.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(encode_rows(path, pattern, keep), schema)
 
 
 def bpe_digests(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
