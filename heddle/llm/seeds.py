@@ -84,7 +84,8 @@ def block_reader(units: Callable, window: int, seed: int) -> Callable[[Iterable[
 def repeated_blocks(docs: DataFrame, units: Callable, window: int, seed: int) -> DataFrame:
     """Every block whose seed is found more than once, with ``seen``, the number of the seed's blocks."""
     blocks = docs.filter(F.col("doc_id") != NO_ID).select("doc_id", "text").mapInArrow(block_reader(units, window, seed), BLOCKS)
-    seen = blocks.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1")
+    # as a table of its own, so that the join below is of two plain shuffles, of which Spark can split a hot seed's rows
+    seen = materialise(blocks.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1"), "repeated-seeds")
     return materialise(blocks.join(seen, "anchor"), "repeated-blocks")
 
 
