@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialise, new_path
+from ..storage import materialise, new_path
 
 KEY = ("source", "lang", "tokenizer")
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
