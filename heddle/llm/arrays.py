@@ -162,3 +162,11 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         out[at:to] = PrefixHash(data[base:stop]).slices(start[at:to] - base, end[at:to] - base)
         at = to
     return out
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

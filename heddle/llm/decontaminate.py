@@ -106,9 +106,11 @@ def _judged(documents: DataFrame, benchmark: DataFrame, window: int, share: int)
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    judged, texts = _judged(documents, benchmark, window, share)
+    # other columns travel in one, so that none of their names can clash
+    whole = documents.select("doc_id", "text", F.struct(*documents.columns).alias("row"))
+    judged, texts = _judged(whole, benchmark, window, share)
     dirty = judged.filter("contaminated").select("rid")
-    return texts.join(dirty, "rid", "left_anti").select(*documents.columns)
+    return texts.join(dirty, "rid", "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import hash_spans, runs, slices
+from .arrays import hash_spans, runs, slices, unused
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 #: The most bits of one filter (16 MB), and the bits of a block of it.
@@ -185,10 +185,9 @@ def dropped_keys(docs: DataFrame, min_length: int, min_docs: int, bits: int) ->
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest")).alias("lost"))
 
 
-def dropped_lines(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, min_length: int) -> tuple[Lines, np.ndarray]:
-    """The lines of a slice, and which of them go by the column ``lost``."""
+def dropped_lines(lists: pa.Array, data: np.ndarray, offs: np.ndarray, min_length: int) -> tuple[Lines, np.ndarray]:
+    """The lines of a slice, and which of them go by the lists of lost keys."""
     lines = Lines(data, offs, min_length)
-    lists = rows.column(rows.schema.get_field_index("lost"))
     lists = lists.fill_null([]) if lists.null_count else lists
     counts = np.diff(np.asarray(lists.offsets))
     gone = np.zeros(len(lines.start), dtype=bool)
@@ -214,11 +213,11 @@ def _kept(lines: Lines, gone: np.ndarray, data: np.ndarray, offs: np.ndarray, i:
 
 
 def cut_lines(min_length: int, result: bool, keep: list[str]):
-    """mapInArrow: documents with their ``lost`` keys to RESULT, or to themselves with the shorter text."""
+    """mapInArrow: documents with their lost keys in the last column to RESULT, or to themselves with the shorter text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
-            lines, gone = dropped_lines(rows, data, offs, min_length)
+            lines, gone = dropped_lines(rows.column(rows.num_columns - 1), data, offs, min_length)
             dropped = np.add.reduceat(gone.astype(np.int64), lines.offs[:-1])
             texts = [_kept(lines, gone, data, offs, i, k) for i, k in enumerate(dropped.tolist())]
             if result:
@@ -248,7 +247,9 @@ def drop_common_lines(documents: DataFrame, min_length: int = MIN_LENGTH, min_do
     """The documents, with all their columns, without the lines that ``line_dedup`` drops."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lost = dropped_keys(docs, min_length, min_docs, bits or filter_bits(_stored_bytes(documents)))
-    joined = documents.join(lost.hint("shuffle_hash"), documents["doc_id"] == lost["doc_id"], "left").select(*(documents[c] for c in documents.columns), lost["lost"])
+    own, gone = unused("doc_id", documents.columns), unused("lost", documents.columns)
+    lost = lost.select(F.col("doc_id").alias(own), F.col("lost").alias(gone))
+    joined = documents.join(lost.hint("shuffle_hash"), documents["doc_id"] == lost[own], "left").select(*documents.columns, gone)
     return joined.mapInArrow(cut_lines(min_length, False, documents.columns), documents.schema)
 
 

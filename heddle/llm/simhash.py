@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, runs, slices
+from .arrays import Words, runs, slices, unused
 from ..storage import materialise
 
 SHINGLE, RADIUS = 3, 2
@@ -334,8 +334,9 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int
 def keep_first_of_group(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents, with all their columns, that are the smallest of their group; rows without doc_id stay."""
     named = simhash_components(documents, shingle, radius)
-    later = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("later_id")).distinct()
-    return documents.join(later, documents["doc_id"] == later["later_id"], "left_anti")
+    own = unused("doc_id", documents.columns)
+    later = named.filter("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return documents.join(later, documents["doc_id"] == later[own], "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
