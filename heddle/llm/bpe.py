@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from .arrays import runs, slices
 
-MOVES = 400_000
-PIECES = 400_000
+MOVES = 120_000
+PIECES = 150_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
 
