@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from .arrays import runs, slices
 
-MOVES = 120_000
-PIECES = 150_000
+MOVES = 200_000
+PIECES = 200_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
 
@@ -107,20 +107,24 @@ class Transducer:
 
     def __init__(self, merges: Merges, moves: int = MOVES):
         self.merges, self.limit = merges, moves
-        self._next: list[dict[int, int]] = [{}]
+        # the trie of tokens: node and byte to node, the token that ends at a node, and whether a node has children
+        self._next: dict[int, int] = {}
         self._ends: list[int] = [-1]
+        parents: set[int] = set()
         for text, rank in merges.ranks.items():
             if not merges.reachable(rank):
                 continue
             node = 0
             for byte in text:
-                to = self._next[node].get(byte)
+                key = node << 8 | byte
+                to = self._next.get(key)
                 if to is None:
-                    to = self._next[node][byte] = len(self._next)
-                    self._next.append({})
+                    to = self._next[key] = len(self._ends)
                     self._ends.append(-1)
+                    parents.add(node)
                 node = to
             self._ends[node] = rank
+        self._goes_on = bytes(i in parents for i in range(len(self._ends)))
         self.clear()
 
     def clear(self) -> None:
@@ -130,14 +134,14 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and the tokens that became final."""
         paths, cut = [], None
-        children, ends, apart = self._next, self._ends, self.merges.apart
+        children, ends, goes_on, apart = self._next, self._ends, self._goes_on, self.merges.apart
         for held, last, node in self._states[state]:
-            node = children[node].get(byte)
+            node = children.get(node << 8 | byte)
             if node is None:
                 continue
             if cut is None and (token := ends[node]) >= 0 and (last < 0 or apart(last, token)):
                 cut = ((*held, token), token, 0)
-            if children[node]:
+            if goes_on[node]:
                 paths.append((held, last, node))
         paths.append(cut)
         final = cut[0]
@@ -225,6 +229,7 @@ class Decoder:
         self.texts = texts
         self._moves: dict[tuple[int, int], int] = {}
         self.whole = np.array([self.move(0, i) == 0 for i in range(size)], dtype=bool)
+        self._moves.clear()
 
     def move(self, state: int, token: int) -> int:
         key = (state, token)
