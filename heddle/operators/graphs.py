@@ -44,14 +44,19 @@ def name_tiers(candidates: Column, at_most: int = AMBIGUITY_AT_MOST) -> tuple[Co
     return via, confidence
 
 
+def counts(parts: Column) -> Column:
+    """1 to the number of parts; nothing if there are none."""
+    return F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+
+
 def prefixes(parts: Column, separator: str) -> Column:
     """Every prefix of a list of parts as (prefix, size)."""
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), separator).alias("prefix"), n.alias("size")))
+    return F.transform(counts(parts), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), separator).alias("prefix"), n.alias("size")))
 
 
 def suffixes(parts: Column, separator: str) -> Column:
     """Every suffix of a list of parts as (suffix, size)."""
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.size(parts) - n + 1, n), separator).alias("suffix"), n.alias("size")))
+    return F.transform(counts(parts), lambda n: F.struct(F.array_join(F.slice(parts, F.size(parts) - n + 1, n), separator).alias("suffix"), n.alias("size")))
 
 
 def longest_prefix(names: DataFrame, bindings: DataFrame, key: list[str], separator: str = ".") -> DataFrame:

@@ -19,6 +19,8 @@ def _scan(literals: list[tuple[str, str]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        if not literals:
+            return
         tree = ahocorasick.Automaton()
         for key, literal in literals:
             tree.add_word(literal, (*tree.get(literal, ()), key))
