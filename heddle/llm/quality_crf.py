@@ -29,6 +29,8 @@ from .arrays import Words, mix, slices
 
 #: Labelled documents that a fit reads at most.
 SAMPLE = 4000
+#: A longer document is not learned from (it is scored like any other).
+MOST_LINES = 5000
 ROUNDS = 150
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_share double"
 
@@ -182,16 +184,19 @@ class _Ascent:
         return out
 
 
-def fit(texts: list[str], quality: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-3) -> LineField:
+def fit(texts: list[str], quality: np.ndarray, rounds: int = ROUNDS) -> LineField:
     """Fit the field to documents and their labels (0 or 1)."""
-    width = len(FEATURES)
-    flat = np.zeros(width), np.ones(width), np.zeros(3 * width + 1), np.zeros((2, 2)), (1.0, 0.0)
-    if len(texts) == 0 or quality.min() == quality.max():
-        return LineField(*flat, constant=float(quality.mean()) if len(texts) else 0.5)
     raw = [t.encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    x, size, line_offs = line_features(data, offs)
+    return fit_lines(*line_features(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)), quality, rounds)
+
+
+def fit_lines(x: np.ndarray, size: np.ndarray, line_offs: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-3) -> LineField:
+    """The same from lines' features and lengths, and the offsets of documents in lines."""
+    width = len(FEATURES)
+    flat = np.zeros(width), np.ones(width), np.zeros(3 * width + 1), np.zeros((2, 2)), (1.0, 0.0)
+    if len(quality) == 0 or quality.min() == quality.max():
+        return LineField(*flat, constant=float(quality.mean()) if len(quality) else 0.5)
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     x = with_neighbours((x - centre) / scale, line_offs)
     y = np.repeat(quality, np.diff(line_offs)).astype(np.float64)
@@ -226,15 +231,33 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """Fit on ``sample`` labelled documents at most, none of them held out."""
+def feature_rows(most_lines: int):
+    """mapInArrow: (doc_id, text, quality) to the features and lengths of each document's lines, if they are not too many."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches):
+            x, size, at = line_features(data, offs)
+            fits = np.flatnonzero(np.diff(at) <= most_lines)
+            packed = [x[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in fits]
+            sizes = [size[at[i] : at[i + 1]].astype(np.int64).tobytes() for i in fits]
+            take = pa.array(fits)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(2).take(take), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "quality", "features", "sizes"])
+
+    return run
+
+
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> LineField:
+    """Fit on ``sample`` labelled documents at most, of ``most_lines`` lines at most, none of them held out."""
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # ``sample`` ids and labels at most are broadcast, and the texts of that many documents collected
-    rows = docs.join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows], np.array([r.quality for r in rows], dtype=np.int64))
+    # ``sample`` ids and labels at most are broadcast, and the features of that many documents' lines collected
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(feature_rows(most_lines), "doc_id long, quality int, features binary, sizes binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
+    x = np.concatenate([np.zeros((0, len(FEATURES)), np.float32), *(np.frombuffer(r.features, dtype=np.float32).reshape(-1, len(FEATURES)) for r in rows)])
+    sizes = [np.frombuffer(r.sizes, dtype=np.int64) for r in rows]
+    offs = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
+    return fit_lines(x.astype(np.float64), np.concatenate([np.zeros(0, np.int64), *sizes]), offs, np.array([r.quality for r in rows], dtype=np.int64))
 
 
 def score_rows(model: LineField):
