@@ -35,6 +35,8 @@ from .arrays import runs, slices
 
 MOVES = 200_000
 PIECES = 200_000
+#: Longer pieces are encoded anew each time.
+PIECE_REMEMBERED = 64
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
 
@@ -185,12 +187,14 @@ class _Pieces(dict):
         self.coder, self.ranks = coder, coder.merges.ranks
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
         raw = piece.encode("utf-8")
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else self.coder.encode(raw)
-        self[piece] = found = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= PIECE_REMEMBERED:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
