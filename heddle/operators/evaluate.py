@@ -44,3 +44,26 @@ def resolved_rate(report: DataFrame, by: list[str]) -> DataFrame:
     """by..., submitted, resolved and their ratio (0 where nothing was submitted)."""
     sums = report.groupBy(*by).agg(F.count_if("submitted").alias("submitted"), F.count_if(F.col("submitted") & F.col("resolved")).alias("resolved"))
     return sums.withColumn("resolved_rate", rounded(F.coalesce(F.try_divide("resolved", "submitted"), F.lit(0.0)), 4))
+
+
+def first_novel(ranked: DataFrame, evidence: DataFrame, by: list[str], item: str, rank: str = "rank") -> DataFrame:
+    """by..., first_rank: the rank of the first item that the evidence (by..., item) did not name; null if it named all."""
+    fresh = ranked.join(evidence.select(*by, item).distinct(), [*by, item], "left_anti").groupBy(*by).agg(F.min(rank).alias("first_rank"))
+    return ranked.select(*by).distinct().join(fresh, by, "left")
+
+
+def delivery_gap(ranked: DataFrame, delivered: DataFrame, gold: DataFrame, by: list[str], item: str, k: int) -> DataFrame:
+    """One row: groups with gold, mean recall of what was delivered and of the first k ranked, groups where packing lost
+    gold that was ranked, and the mean number of items delivered."""
+    at_k = recall_at_k(ranked, gold, by, item, (k,)).select(*by, F.col("recall").alias("ranked_recall"))
+    given = delivered.select(*by, item).distinct()
+    got = recall_at_k(given.withColumn("rank", F.lit(1)), gold, by, item, (1,)).select(*by, F.col("recall").alias("delivered_recall"))
+    sizes = given.groupBy(*by).agg(F.count("*").alias("items"))
+    rows = at_k.join(got, by).join(sizes, by, "left")
+    return rows.agg(
+        F.count("*").alias("groups"),
+        rounded(F.avg("delivered_recall"), 4).alias("mean_delivered"),
+        rounded(F.avg("ranked_recall"), 4).alias("mean_ranked"),
+        F.count_if(F.col("delivered_recall") < F.col("ranked_recall")).alias("losing"),
+        rounded(F.avg(F.coalesce("items", F.lit(0))), 4).alias("mean_items"),
+    )

@@ -27,10 +27,7 @@ def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_source(spark, sf_dir)
-    # the languages in which a source has its latest documents are the named ones
-    named = rows.groupBy("source", "path").agg(F.max("doc_id").alias("newest"))
-    named = ranking.top(named, ["source"], [F.desc("newest")], 2).select("source", "path", F.col("rank").alias("named_at"))
-    return ranking.evidence_first(rows, named, ["source"]).select("source", "doc_id", "rank", "position")
+    return ranking.evidence_first(rows, _named(rows), ["source"]).select("source", "doc_id", "rank", "position")
 
 
 def file_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +39,26 @@ def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.budget_pack(rows, ["source"], "rank", "cost", PACK_K, BUDGET)
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """The two languages in which a source has its latest documents."""
+    newest = rows.groupBy("source", "path").agg(F.max("doc_id").alias("newest"))
+    return ranking.top(newest, ["source"], [F.desc("newest")], 2).select("source", "path", F.col("rank").alias("named_at"))
+
+
+def first_novel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _by_source(spark, sf_dir)
+    return evaluate.first_novel(rows, _named(rows), ["source"], "path")
+
+
+def delivery_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing loses of each source's documents that are labelled good."""
+    rows = _by_source(spark, sf_dir).withColumn("cost", F.floor(F.col("n") / 4))
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    gold = rows.select("source", "doc_id").join(good, "doc_id").select("source", "doc_id")
+    taken = ranking.budget_pack(rows, ["source"], "rank", "cost", PACK_K, BUDGET).select("source", "rank").join(rows.select("source", "rank", "doc_id"), ["source", "rank"])
+    return evaluate.delivery_gap(rows.select("source", "doc_id", "rank"), taken, gold, ["source"], "doc_id", PACK_K)
+
+
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ranking.chunk_lines(_documents(spark, sf_dir), 5, key="doc_id")
     return out.select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("digest"))
@@ -208,6 +225,10 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SOURCE = "r AS (SELECT source, doc_id, lang AS path, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents)"
+_PACKED = f"""c AS (SELECT source, rank, n // 4 AS cost FROM r),
+w AS (SELECT source, rank, cost, TRUE AS took, 1 AS picked, cost AS used FROM c WHERE rank = 1
+  UNION ALL SELECT c.source, c.rank, c.cost, ok, w.picked + CAST(ok AS INTEGER), w.used + CASE WHEN ok THEN c.cost ELSE 0 END
+  FROM w JOIN c ON c.source = w.source AND c.rank = w.rank + 1, LATERAL (SELECT w.picked < {PACK_K} AND w.used < {BUDGET} AND w.used + c.cost <= {BUDGET} AS ok))"""
 _NEAR = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, floor(list_dot_product(a.v, b.v) / (a.n * b.n) * 1000000 + 0.500001) / 1000000 AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
@@ -228,7 +249,7 @@ owns AS (SELECT m AS cls, member FROM cl GROUP BY ALL HAVING count(*) >= 2 UNION
 
 QUERIES = {
     f.__name__: f
-    for f in (evidence_first, file_diversity, budget_pack, chunk_lines, first_files, token_costs, cosine_topk, recall_at_k, summarise_recall, rollup_recall, index_percentiles, ambiguity_tiers, unique_owner, resolution_counts, longest_prefix, suffix_match, link_graph, interval_locate, best_offer, identifier_weights, stop_filter, literal_selective, fixpoint_closure, mro_first_hit, hourly_windows, event_payloads)
+    for f in (evidence_first, file_diversity, budget_pack, first_novel, delivery_gap, chunk_lines, first_files, token_costs, cosine_topk, recall_at_k, summarise_recall, rollup_recall, index_percentiles, ambiguity_tiers, unique_owner, resolution_counts, longest_prefix, suffix_match, link_graph, interval_locate, best_offer, identifier_weights, stop_filter, literal_selective, fixpoint_closure, mro_first_hit, hourly_windows, event_payloads)
 }
 
 
@@ -245,11 +266,16 @@ l AS (SELECT r.*, named_at, named_at IS NOT NULL AND row_number() OVER (PARTITIO
 SELECT source, doc_id, rank, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lead THEN 0 ELSE 1 END, CASE WHEN lead THEN named_at END, rank) AS position FROM l""",
     "file_diversity": f"""WITH {_SOURCE}, t AS (SELECT *, row_number() OVER (PARTITION BY source, path ORDER BY rank) AS turn FROM r)
 SELECT source, doc_id, rank, row_number() OVER (PARTITION BY source ORDER BY CAST(turn > 1 AS INTEGER), rank) AS position FROM t""",
-    "budget_pack": f"""WITH RECURSIVE {_SOURCE}, c AS (SELECT source, rank, n // 4 AS cost FROM r),
-w AS (SELECT source, rank, cost, TRUE AS took, 1 AS picked, cost AS used FROM c WHERE rank = 1
-  UNION ALL SELECT c.source, c.rank, c.cost, ok, w.picked + CAST(ok AS INTEGER), w.used + CASE WHEN ok THEN c.cost ELSE 0 END
-  FROM w JOIN c ON c.source = w.source AND c.rank = w.rank + 1, LATERAL (SELECT w.picked < {PACK_K} AND w.used < {BUDGET} AND w.used + c.cost <= {BUDGET} AS ok))
-SELECT source, rank, cost, picked AS picked_at, used FROM w WHERE took""",
+    "budget_pack": f"""WITH RECURSIVE {_SOURCE}, {_PACKED} SELECT source, rank, cost, picked AS picked_at, used FROM w WHERE took""",
+    "first_novel": f"""WITH {_SOURCE}, named AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY max(doc_id) DESC) AS named_at FROM r GROUP BY source, path QUALIFY named_at <= 2)
+SELECT source, min(rank) FILTER (named_at IS NULL) AS first_rank FROM r LEFT JOIN named USING (source, path) GROUP BY source""",
+    "delivery_gap": f"""WITH RECURSIVE {_SOURCE}, {_PACKED},
+gold AS (SELECT source, doc_id, rank FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+g AS (SELECT g.source, floor(count(*) FILTER (g.rank <= {PACK_K}) / CAST(count(*) AS DOUBLE) * 1000000 + 0.500001) / 1000000 AS rr, floor(count(w.rank) / CAST(count(*) AS DOUBLE) * 1000000 + 0.500001) / 1000000 AS dr
+  FROM gold g LEFT JOIN (SELECT * FROM w WHERE took) w ON w.source = g.source AND w.rank = g.rank GROUP BY g.source),
+n AS (SELECT source, count(*) AS items FROM w WHERE took GROUP BY source)
+SELECT count(*) AS groups, floor(avg(dr) * 10000 + 0.500001) / 10000 AS mean_delivered, floor(avg(rr) * 10000 + 0.500001) / 10000 AS mean_ranked, count(*) FILTER (dr < rr) AS losing,
+  floor(avg(coalesce(items, 0)) * 10000 + 0.500001) / 10000 AS mean_items FROM g LEFT JOIN n USING (source)""",
     "chunk_lines": r"""WITH t AS (SELECT doc_id, CASE WHEN suffix(text, chr(10)) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> ''),
 c AS (SELECT doc_id, i * 5 + 1 AS start_line, least((i + 1) * 5, len(l)) AS end_line, array_to_string(l[i * 5 + 1 : (i + 1) * 5], chr(10)) AS x FROM t, LATERAL (SELECT unnest(range(0, (len(l) - 1) // 5 + 1)) AS i))
 SELECT doc_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, sha256(x) AS digest FROM c WHERE regexp_replace(x, '\s', '', 'g') <> ''""",

@@ -23,7 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_heddle_paths", []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the tables that this session has kept, once no result that reads them is needed; the number deleted."""
+    paths = spark.sparkContext.__dict__.pop("_heddle_paths", [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

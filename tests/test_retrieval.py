@@ -214,3 +214,11 @@ def test_windows_on_a_stream(spark, tmp_path):
     stream = hourly(spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(f"file://{tmp_path}/e"))
     stream.writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert {(str(r.hour), r.event_type): (r.events, r.total) for r in spark.table("hours").collect()} == {("2024-01-01 00:00:00", "a"): (2, 325)}
+
+
+def test_kept_tables_can_be_deleted(spark):
+    from heddle import storage
+
+    kept = storage.materialise(spark.range(5), "some")
+    assert kept.count() == 5
+    assert storage.cleanup(spark) >= 1 and storage.cleanup(spark) == 0
