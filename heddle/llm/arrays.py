@@ -11,10 +11,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled by one vector operation; a worker's temporary arrays are about 100 times this.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of rows that Spark hands to a Python worker at once; its own default holds 64 MB on both sides.
+BATCH_BYTES = "4m"
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK64 = (1 << 64) - 1
 
@@ -89,6 +93,11 @@ def runs(counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) - np.repeat(starts, counts)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what passes between Spark and a worker small, for this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

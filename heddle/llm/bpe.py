@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import runs, slices
+from .arrays import bounded_batches, runs, slices
 
 MOVES = 200_000
 PIECES = 200_000
@@ -352,6 +352,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, pattern: str | None = Non
     """
     default = default_vocabulary() if path is None or pattern is None else ("", "")
     path, pattern = path or default[0], pattern or default[1]
+    bounded_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())])
     return df.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(encode_rows(path, pattern, keep), schema)
@@ -359,6 +360,7 @@ def bpe_encode(df: DataFrame, path: str | None = None, pattern: str | None = Non
 
 def bpe_digests(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encode and decode each text; one row per document: RESULT."""
+    bounded_batches(documents.sparkSession)
     default = default_vocabulary() if path is None or pattern is None else ("", "")
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(digest_rows(path or default[0], pattern or default[1]), RESULT)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import hash_spans, runs, slices, unused
+from .arrays import bounded_batches, hash_spans, runs, slices, unused
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 #: The most bits of one filter (16 MB), and the bits of a block of it.
@@ -174,6 +174,7 @@ def suspects(shared, bits: int, min_length: int):
 def dropped_keys(docs: DataFrame, min_length: int, min_docs: int, bits: int) -> DataFrame:
     """doc_id and the keys that it loses, each with its hash, for documents that lose any."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     shared = spark.sparkContext.broadcast(repeat_filter(named, min_length, bits).tobytes())
     found = named.mapInArrow(suspects(shared, bits, min_length), "doc_id long, hash long, key binary").withColumn("digest", F.sha2("key", 256))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, mix, slices
+from .arrays import Words, bounded_batches, mix, slices
 
 #: Labelled documents that a fit reads at most.
 SAMPLE = 4000
@@ -248,6 +248,7 @@ def feature_rows(most_lines: int):
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> LineField:
     """Fit on ``sample`` labelled documents at most, of ``most_lines`` lines at most, none of them held out."""
+    bounded_batches(documents.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

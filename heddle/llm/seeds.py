@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import PrefixHash, runs, slices, string_buffers, window_min
+from .arrays import PrefixHash, bounded_batches, runs, slices, string_buffers, window_min
 from ..storage import materialise
 
 #: Units handled at once; longer documents are cut, with W - 1 units of overlap.
@@ -191,6 +191,7 @@ def repeated_spans(docs: DataFrame, units: Callable, spans: Callable, solve: Cal
     """doc_id and the unit spans to remove, as an array of (s, e), for documents that have any."""
     if not 2 <= window < WINDOW_AT_MOST:
         raise ValueError(f"a window has 2 to {WINDOW_AT_MOST - 1} units")
+    bounded_batches(docs.sparkSession)
     repeated = repeated_blocks(docs, units, window, seed)
     distinct = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "spot")).alias("first"), F.max("seen").alias("seen"))
     by_doc = distinct.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", F.col("first.spot").alias("spot"), "n", "seen")).alias("blocks"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, runs, slices, unused
+from .arrays import Words, bounded_batches, runs, slices, unused
 from ..storage import materialise
 
 SHINGLE, RADIUS = 3, 2
@@ -320,6 +320,7 @@ def star_components(links: DataFrame) -> DataFrame:
 
 def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = materialise(docs.mapInArrow(fingerprint_rows(shingle), "doc_id long, fp long"), "simhash")
     least = marked.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
