@@ -55,7 +55,8 @@ def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, settings: DataF
     """
     base = seeds.join(nodes, "node").groupBy("issue_id", "node").agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("mass"))
     grid = settings.select("config", "hops", "min_confidence", "include_modules")
-    steps = adjacency(edges).join(nodes.select(F.col("node").alias("nb"), "is_module"), "nb")
+    known = nodes.select(F.col("node").alias("nb"), "is_module")
+    steps = materialise(adjacency(materialise(edges.select("src", "dst", "relation", "confidence"), "edges")).join(known, "nb"), "steps")
     # degrees and steps for each floor of confidence, not for each setting
     floors = settings.select("min_confidence").distinct()
     open_steps = steps.join(F.broadcast(floors), (F.col("relation") != "calls") | (F.col("confidence") >= F.col("min_confidence")))
