@@ -7,7 +7,7 @@ stay apart when merged alone, and for each prefix there is one such cut. So afte
 and the others are walks in the trie that began at an earlier byte. A determinised state is that set of paths, each
 with the tokens it has over the common ones; tokens that all paths share are final and are put out. A walk ends at the
 longest token, so a token is put out after a bounded lookahead. States and moves are made when first met and forgotten
-together once they number ``MOVES``; pieces are remembered up to ``PIECES``.
+together once they number ``MOVES``; up to ``PIECES`` pieces, of those last met, are remembered.
 
 Decoding joins the bytes of tokens; a UTF-8 state machine, moved by whole tokens, says after each chunk how many bytes
 at its end belong to an unfinished character, so that text can be given out as it comes.
@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from .arrays import bounded_batches, runs, slices
 
-MOVES = 200_000
-PIECES = 200_000
+MOVES = 400_000
+APART = 200_000
+PIECES = 300_000
 #: Longer pieces are encoded anew each time.
 PIECE_REMEMBERED = 64
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
@@ -47,7 +48,7 @@ class Merges:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank, leftmost first, until no merge is left or ``until`` parts are."""
@@ -81,10 +82,10 @@ class Merges:
         The merges that made them are undone, the latest first; a merge across the border that would come before the
         one undone last joins them.
         """
-        key = (a, b)
+        key = a << 32 | b
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) >= MOVES:
+            if len(self._apart) >= APART:
                 self._apart.clear()
             known = self._apart[key] = self._stay(a, b)
         return known
@@ -130,31 +131,29 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        start = (((), -1, 0),)
+        start = ((0, -1),)
         self._states, self._numbers, self._moves = [start], {start: 0}, {}
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, and the tokens that became final."""
+        """The state after one more byte, and the tokens that became final. A path is (trie node, last token, *tokens held)."""
         paths, cut = [], None
         children, ends, goes_on, apart = self._next, self._ends, self._goes_on, self.merges.apart
-        for held, last, node in self._states[state]:
-            node = children.get(node << 8 | byte)
+        for path in self._states[state]:
+            node = children.get(path[0] << 8 | byte)
             if node is None:
                 continue
-            if cut is None and (token := ends[node]) >= 0 and (last < 0 or apart(last, token)):
-                cut = ((*held, token), token, 0)
+            if cut is None and (token := ends[node]) >= 0 and ((last := path[1]) < 0 or apart(last, token)):
+                cut = (0, token, *path[2:], token)
             if goes_on[node]:
-                paths.append((held, last, node))
+                paths.append((node, *path[1:]))
         paths.append(cut)
-        final = cut[0]
-        for held, _, _ in paths:  # the start that all paths share
-            if len(held) < len(final):
-                final = final[: len(held)]
-            while final and held[: len(final)] != final:
-                final = final[:-1]
-        if shared := len(final):
-            paths = [(held[shared:], last, node) for held, last, node in paths]
-        key = tuple(paths)
+        shared = len(cut) - 2
+        for path in paths:  # the start that all paths share
+            shared = min(shared, len(path) - 2)
+            while shared and path[2 : 2 + shared] != cut[2 : 2 + shared]:
+                shared -= 1
+        final = cut[2 : 2 + shared]
+        key = tuple((*path[:2], *path[2 + shared :]) for path in paths) if shared else tuple(paths)
         number = self._numbers.get(key)
         if number is None:
             number = self._numbers[key] = len(self._states)
@@ -176,23 +175,27 @@ class Transducer:
             if final:
                 out += final
         if piece:
-            out += self._states[state][-1][0]
+            out += self._states[state][-1][2:]
         return out
 
 
 class _Pieces(dict):
-    """Piece to its ids as little-endian bytes; filled when asked."""
+    """Piece to its ids as little-endian bytes; filled when asked. Once full, pieces not asked for since the last time
+    that it was full are forgotten."""
 
     def __init__(self, coder: Transducer):
-        self.coder, self.ranks = coder, coder.merges.ranks
+        self.coder, self.ranks, self.older = coder, coder.merges.ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.coder.encode(raw)
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8")
+            whole = self.ranks.get(raw)
+            ids = [whole] if whole is not None else self.coder.encode(raw)
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= PIECE_REMEMBERED:
-            if len(self) >= PIECES:
+            if len(self) >= PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
