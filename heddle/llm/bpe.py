@@ -48,7 +48,7 @@ class Merges:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank, leftmost first, until no merge is left or ``until`` parts are."""
@@ -83,11 +83,11 @@ class Merges:
         one undone last joins them.
         """
         key = a << 32 | b
-        known = self._apart.get(key)
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._apart) >= APART:
-                self._apart.clear()
-            known = self._apart[key] = self._stay(a, b)
+            if len(self.pairs) >= APART:
+                self.pairs.clear()
+            known = self.pairs[key] = self._stay(a, b)
         return known
 
     def _stay(self, a: int, b: int) -> bool:
@@ -137,23 +137,28 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after one more byte, and the tokens that became final. A path is (trie node, last token, *tokens held)."""
         paths, cut = [], None
-        children, ends, goes_on, apart = self._next, self._ends, self._goes_on, self.merges.apart
+        child, ends, goes_on, known, apart = self._next.get, self._ends, self._goes_on, self.merges.pairs.get, self.merges.apart
         for path in self._states[state]:
-            node = children.get(path[0] << 8 | byte)
+            node = child(path[0] << 8 | byte)
             if node is None:
                 continue
-            if cut is None and (token := ends[node]) >= 0 and ((last := path[1]) < 0 or apart(last, token)):
-                cut = (0, token, *path[2:], token)
+            last = path[1]
+            if cut is None:
+                token = ends[node]
+                if token >= 0:
+                    fits = last < 0 or known(last << 32 | token)
+                    if apart(last, token) if fits is None else fits:
+                        cut = (0, token, token) if len(path) == 2 else (0, token, *path[2:], token)
             if goes_on[node]:
-                paths.append((node, *path[1:]))
-        paths.append(cut)
-        shared = len(cut) - 2
-        for path in paths:  # the start that all paths share
-            shared = min(shared, len(path) - 2)
+                paths.append((node, last) if len(path) == 2 else (node, last, *path[2:]))
+        shared = min([len(path) for path in paths], default=len(cut)) - 2
+        shared = min(shared, len(cut) - 2)
+        for path in paths if shared else ():  # the start that all paths share
             while shared and path[2 : 2 + shared] != cut[2 : 2 + shared]:
                 shared -= 1
+        paths.append(cut)
         final = cut[2 : 2 + shared]
-        key = tuple((*path[:2], *path[2 + shared :]) for path in paths) if shared else tuple(paths)
+        key = tuple([path[:2] + path[2 + shared :] for path in paths]) if shared else tuple(paths)
         number = self._numbers.get(key)
         if number is None:
             number = self._numbers[key] = len(self._states)
