@@ -48,7 +48,7 @@ def anchored_blocks(values: np.ndarray, offsets: np.ndarray, window: int, seed:
     """Blocks of a slice of documents: seed hash, content hash, document (row in the slice), start, length, seed's place."""
     parts: list[tuple[np.ndarray, ...]] = []
     for a in range(0, max(len(values) - window + 1, 0), PIECE):
-        piece = PrefixHash(sub := values[a : a + PIECE + window - 1])
+        piece = PrefixHash(values[a : a + PIECE + window - 1])
         grams = piece.grams(seed)
         least = window_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), window - seed + 1)
         least &= _LOW
@@ -63,7 +63,6 @@ def anchored_blocks(values: np.ndarray, offsets: np.ndarray, window: int, seed:
         b = np.flatnonzero(new)
         s, e, at, d = live[b], live[np.append(b[1:], len(live)) - 1] + window, at[b], doc[live[b]]
         parts.append((grams[at].view(np.int64), piece.slices(s, e).view(np.int64), d, s + a - offsets[d], e - s, at - s))
-        del sub
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
