@@ -9,6 +9,7 @@ whose seed repeats, whatever the size of a group of copies.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -80,6 +81,12 @@ def block_reader(units: Callable, window: int, seed: int) -> Callable[[Iterable[
     return read
 
 
+def drop_finished_shuffles(docs: DataFrame) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are tables by now; it does so once the driver collects garbage."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def repeated_blocks(docs: DataFrame, units: Callable, window: int, seed: int) -> DataFrame:
     """Every block whose seed is found more than once, with ``seen``, the number of the seed's blocks."""
     blocks = docs.filter(F.col("doc_id") != NO_ID).select("doc_id", "text").mapInArrow(block_reader(units, window, seed), BLOCKS)
@@ -192,6 +199,7 @@ def repeated_spans(docs: DataFrame, units: Callable, spans: Callable, solve: Cal
         raise ValueError(f"a window has 2 to {WINDOW_AT_MOST - 1} units")
     bounded_batches(docs.sparkSession)
     repeated = repeated_blocks(docs, units, window, seed)
+    drop_finished_shuffles(docs)
     distinct = repeated.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "spot")).alias("first"), F.max("seen").alias("seen"))
     by_doc = distinct.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", F.col("first.spot").alias("spot"), "n", "seen")).alias("blocks"))
     bodies = docs.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "blocks").mapInArrow(body_cutter(spans, units, window, longer_seed, crowd), SHARDS)
