@@ -98,26 +98,34 @@ def innermost(points: DataFrame, spans: DataFrame, key: list[str], point: str, a
     return points.join(best, [*key, point], "left")
 
 
-def closure(edges: DataFrame, rounds: int) -> DataFrame:
+#: More levels than any hierarchy has; a walk that is still going then fails rather than lose rows.
+LEVELS_AT_MOST = 1000
+
+
+def closure(edges: DataFrame, rounds: int = LEVELS_AT_MOST) -> DataFrame:
     """node, above, depth: everything above a node, at its least depth. ``edges``: node, parent.
 
-    Each round extends the newest rows by one step and drops what was known; it stops when nothing is new.
+    Each round extends the newest rows by one step and drops what was known; it stops when nothing is new, and fails if rows are still new
+    after ``rounds``.
     """
     known = newest = materialise(edges.select("node", F.col("parent").alias("above"), F.lit(1).alias("depth")).distinct(), "closure")
-    for depth in range(2, rounds + 1):
+    for depth in range(2, rounds + 2):
         step = newest.select("node", F.col("above").alias("mid")).join(edges.select(F.col("node").alias("mid"), F.col("parent").alias("above")), "mid")
         newest = materialise(step.select("node", "above").distinct().join(known, ["node", "above"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if newest.isEmpty():
             break
+        if depth > rounds:
+            raise RuntimeError(f"closure has new rows after {rounds} rounds")
         known = known.unionByName(newest)
     return known
 
 
-def first_owner_up(asks: DataFrame, bases: DataFrame, owns: DataFrame, rounds: int) -> DataFrame:
+def first_owner_up(asks: DataFrame, bases: DataFrame, owns: DataFrame, rounds: int = LEVELS_AT_MOST) -> DataFrame:
     """cls, member, owner, depth: the first class, breadth first over bases in their declared order, that owns the member.
 
     ``asks``: cls, member. ``bases``: cls, base, ord. ``owns``: cls, member. A walk's order is the list of ords it took;
-    a level drops who has an answer, so a deep hierarchy costs only those still looking.
+    a level drops who has an answer, so a deep hierarchy costs only those still looking; it fails if some
+    still look after ``rounds``.
     """
     from pyspark.sql import types as T
 
@@ -135,4 +143,6 @@ def first_owner_up(asks: DataFrame, bases: DataFrame, owns: DataFrame, rounds: i
         looking = materialise(step.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n"), "mro")
         if looking.isEmpty():
             break
+    else:
+        raise RuntimeError(f"classes above are left after {rounds} rounds")
     return found

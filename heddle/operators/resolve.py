@@ -191,7 +191,7 @@ def _calls(calls: DataFrame, dotted: DataFrame, nodes: DataFrame, inherits: Data
     up = inherits.withColumn("n", order).select(key("src").alias("cls"), key("dst").alias("base"), F.col("n").alias("ord"))
     methods = nodes.filter(F.col("kind") == python_source.METHOD).select(F.concat_ws("|", "repo_id", F.regexp_replace("node", r"\.[^.]*$", "")).alias("cls"), last_part(F.col("qualname")).alias("member")).distinct()
     asks = rows.filter("holder IS NOT NULL").select(F.col("holder").alias("cls"), F.col("short").alias("member")).distinct()
-    owners = first_owner_up(asks, up, methods, 32).select(F.col("cls").alias("holder"), F.col("member").alias("short"), F.concat_ws(".", F.regexp_replace("owner", r"^[^|]*\|", ""), "member").alias("own"))
+    owners = first_owner_up(asks, up, methods).select(F.col("cls").alias("holder"), F.col("member").alias("short"), F.concat_ws(".", F.regexp_replace("owner", r"^[^|]*\|", ""), "member").alias("own"))
     rows = rows.join(owners, ["holder", "short"], "left").join(dotted, ["repo_id", "path", "name"], "left").join(shorts, ["repo_id", "short"], "left")
     n = F.coalesce("candidates", F.lit(0))
     way = F.when(F.col("own").isNotNull(), "self_mro").when(F.col("node").isNotNull(), F.when(F.contains("name", F.lit(".")), "attribute").otherwise("direct")).when(F.col("is_external"), "external").when(n == 0, "unresolved").when(n == 1, "unique_name").when(n <= max_ambiguity, "ambiguous").otherwise("too_ambiguous")

@@ -205,12 +205,12 @@ def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def fixpoint_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, _, _ = _hierarchy(spark, sf_dir)
-    return graphs.closure(bases.select(F.col("cls").alias("node"), F.col("base").alias("parent")).distinct(), 6)
+    return graphs.closure(bases.select(F.col("cls").alias("node"), F.col("base").alias("parent")).distinct())
 
 
 def mro_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases, owns, asks = _hierarchy(spark, sf_dir)
-    return graphs.first_owner_up(asks, bases, owns, 6)
+    return graphs.first_owner_up(asks, bases, owns)
 
 
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
