@@ -3,8 +3,9 @@
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller
 doc_id, or earlier in the same one. Strings never cross documents, and are judged on the input.
 
-Blocks of text that share a seed (see ``seeds``) meet in one shard. A shard concatenates its blocks, sorts the suffixes
-to ``length`` bytes, and takes the Burrows-Wheeler transform. From the empty string's interval it extends strings by
+Blocks of text that share a seed (see ``seeds``) meet in one shard, each different text once: a block equal byte for byte
+to an earlier one goes whole. A shard concatenates its blocks, sorts the suffixes to ``length`` bytes, and takes the
+Burrows-Wheeler transform. From the empty string's interval it extends strings by
 one byte to the left, breadth first: all intervals of strings of one length at a time. The end of a new interval is a
 border between suffixes whose common prefix is one byte shorter than the string; a border that an earlier level set is
 not set again and its interval not followed. So common prefixes are found by increasing value, each once, and the
@@ -17,23 +18,20 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import slices, string_buffers
-from .seeds import keyed, repeated_spans, span_mask, with_spans
+from .arrays import string_buffers
+from .seeds import _picked, chunked, repeated_spans, span_mask, with_spans
 
 LENGTH = 100
 SEED = 24
-#: A seed seen more often than this is cut again by seeds four bytes shorter than the whole.
+#: A seed with more different blocks than this is cut again by seeds four bytes shorter than the whole.
 CROWD = 20_000
 _SEPARATOR = 0xFF  # in no UTF-8 text
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -121,9 +119,8 @@ def prefix_borders(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarra
 def repeats_in_shard(length: int):
     """solve() for ``seeds.shard_reader``: what repeats among a shard's blocks."""
 
-    def solve(table: pa.Table) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    def solve(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, offs = string_buffers(table["body"])
-        count = table["n"].to_numpy()
         size = np.diff(offs)
         rows = len(size)
         # blocks side by side, each ended by a separator
@@ -137,20 +134,16 @@ def repeats_in_shard(length: int):
         off = order - begin[row]
         whole = off + length <= size[row]
         row, off, group = row[whole], off[whole], group[whole]
-        doc = table["doc_id"].to_numpy()[row]
-        place = (table["pos"].to_numpy() + table["rel"].to_numpy())[row] + off
         met = np.bincount(group, minlength=1)
         again = met[group] > 1
-        r, o, g, d, p = row[again], off[again], group[again], doc[again], place[again]
-        first = np.lexsort((p, d, g))
-        g = g[first]
-        later = np.ones(len(g), dtype=bool)
-        later[:1] = False
-        later[1:] = g[1:] == g[:-1]
-        own = joined(r[first][later], o[first][later], length)
-        # a block met more than once makes the intervals of all its windows weigh two or more: its later places go whole
-        many = np.flatnonzero(count > 1)
-        return own, (many, np.zeros(len(many), np.int64), size[many])
+        row, off, group = row[again], off[again], group[again]
+        doc, place = table["doc_id"].to_numpy()[row], table["pos"].to_numpy()[row] + off
+        by = np.lexsort((place, doc, group))
+        row, off, group, doc, place = row[by], off[by], group[by], doc[by], place[by]
+        new = np.append(True, group[1:] != group[:-1])[: len(group)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+        later = (doc != doc[first]) | (place != place[first])
+        return joined(row[later], off[later], length)
 
     return solve
 
@@ -170,44 +163,46 @@ def byte_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, offs
 
 
-def byte_spans(data, offs, doc, pos, size) -> tuple[np.ndarray, np.ndarray]:
-    return offs[doc] + pos, offs[doc] + pos + size
+def byte_bodies(data, offs, doc, pos, size) -> tuple[np.ndarray, np.ndarray]:
+    first = offs[doc] + pos
+    return _picked(data, first, first + size)
 
 
-def cut_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offs in slices(batches):
-        gone = span_mask(rows.column(rows.schema.get_field_index("spans")), offs)
-        edge = gone.copy()
-        edge[1:] &= ~gone[:-1]
-        starts = offs[:-1][offs[:-1] < len(gone)]
-        edge[starts] = gone[starts]
-        sums, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(edge)])
-        removed = sums[offs[1:]] - sums[offs[:-1]]
-        digests = []
-        for i, k in enumerate(removed):
-            part = data[offs[i] : offs[i + 1]]
-            digests.append(hashlib.sha256(part[~gone[offs[i] : offs[i + 1]]] if k else part).hexdigest())
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offs)), pa.array(removed), pa.array(spans[offs[1:]] - spans[offs[:-1]]), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def cut_bytes(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, spans: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    gone = span_mask(rows.column(1).to_numpy(), spans, offs)
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    starts = offs[:-1][offs[:-1] < len(gone)]
+    edge[starts] = gone[starts]
+    sums, begun = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(edge)])
+    removed = sums[offs[1:]] - sums[offs[:-1]]
+    ends = (offs - sums[offs]).astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(removed), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())])
+    return pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.diff(offs)), pa.array(removed), pa.array(begun[offs[1:]] - begun[offs[:-1]]), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def removal_spans(documents: DataFrame, length: int = LENGTH, *, seed: int | None = None, longer_seed: int | None = None, crowd: int = CROWD) -> DataFrame:
-    """doc_id and its repeated byte spans (overlapping ones not yet joined), for documents that have any."""
+def _parts(documents: DataFrame, length: int, seed: int | None, longer_seed: int | None, crowd: int) -> tuple[DataFrame, int, DataFrame]:
     seed = seed or max(1, min(SEED, length // 3))
     longer_seed = longer_seed or max(seed, length - 4)
-    docs = keyed(documents)
-    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    return repeated_spans(docs, byte_units, byte_spans, repeats_in_shard(length), window=length, seed=seed, longer_seed=longer_seed, crowd=crowd, first_place=first)
+    docs, chunks, bits = chunked(documents)
+    spans = repeated_spans(docs, chunks, bits, byte_units, byte_bodies, repeats_in_shard(length), window=length, seed=seed, longer_seed=longer_seed, crowd=crowd, own_document=False)
+    return docs, chunks, spans
+
+
+def removal_spans(documents: DataFrame, length: int = LENGTH, *, seed: int | None = None, longer_seed: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """doc_id, s, e: the byte spans to remove (they may overlap), for documents that have any."""
+    return _parts(documents, length, seed, longer_seed, crowd)[2]
 
 
-def suffix_dedup(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """One row per document: RESULT. See the module's docstring for the rule and the edge cases."""
-    docs = keyed(documents)
-    spans = removal_spans(documents, length, **how)
-    return with_spans(docs, spans, cut_bytes, RESULT)
+def suffix_dedup(documents: DataFrame, length: int = LENGTH, *, seed: int | None = None, longer_seed: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """One row per document, with the bytes that stay: RESULT. See the module's docstring for the rule and the edge cases."""
+    docs, chunks, spans = _parts(documents, length, seed, longer_seed, crowd)
+    return with_spans(docs, chunks, spans, cut_bytes, RESULT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

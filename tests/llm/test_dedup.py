@@ -35,15 +35,15 @@ def corpus(seed, n=40, alphabet=("the", "of", "and", "stone", "river", "él", "s
 def test_suffix_dedup(spark, how):
     rows = corpus(1)
     got = suffix_dedup.suffix_dedup(frame(spark, rows), 30, **how).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == (want := brute.byte_dedup(rows, 30))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in got} == (want := brute.byte_dedup(rows, 30))
     assert len(got) == len(rows) and sum(w[1] for w in want.values()) > 1000
 
 
-@pytest.mark.parametrize("how", [{}, {"crowd": 2}, {"pairs": 1}, {"seed": 3, "pairs": 2}])
+@pytest.mark.parametrize("how", [{}, {"crowd": 2}, {"seed": 3}, {"seed": 3, "crowd": 0}])
 def test_substring_dedup(spark, how):
     rows = corpus(2)
     got = substring_dedup.substring_dedup(frame(spark, rows), 12, **how).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == (want := brute.word_dedup(rows, 12))
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept.encode())) for r in got} == (want := brute.word_dedup(rows, 12))
     assert len(got) == len(rows) and sum(w[1] for w in want.values()) > 300
 
 
