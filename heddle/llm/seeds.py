@@ -34,8 +34,10 @@ PIECE = 1 << 19
 WINDOW_AT_MOST = 1 << 15
 _LOW = np.uint64((1 << 22) - 1)
 #: Bytes of text of a chunk on average, and of the text whose seeds a bucket counts.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 64 << 20
 LEAST_BUCKETS = 32
+#: Bytes of a chunk's text, and of blocks copied, handled by one vector operation.
+SLICE = 1 << 19
 #: Bytes of block text that one pass of a shard holds.
 SHARD_BYTES = 1 << 19
 #: Stands for a null doc_id inside the jobs.
@@ -97,10 +99,10 @@ def anchored_blocks(values: np.ndarray, offsets: np.ndarray, window: int, seed:
 
 def _slices(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a chunk's documents that have an id."""
-    for rows, data, offs in slices(table.to_batches()):
+    for rows, data, offs in slices(table.to_batches(), limit=SLICE):
         if NO_ID in (ids := rows.column(1).to_numpy()):
             rows = rows.filter(pa.array(ids != NO_ID))
-            yield from slices([rows])
+            yield from slices([rows], limit=SLICE)
         else:
             yield rows, data, offs
 
@@ -215,9 +217,17 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[b], start[b], far[last] - turn[last]
 
 
-def _picked(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def picked(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data[first : last] of all pairs, one after another, and the offsets of each."""
     size = last - first
-    return data[np.repeat(first, size) + runs(size)], np.concatenate([[0], np.cumsum(size)])
+    offs = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(offs[-1]), dtype=data.dtype)
+    a = 0
+    while a < len(size):
+        b = min(max(a + 1, int(np.searchsorted(offs, offs[a] + SLICE))), len(size))
+        out[offs[a] : offs[b]] = data[np.repeat(first[a:b], size[a:b]) + runs(size[a:b])]
+        a = b
+    return out, offs
 
 
 def sender(units: Callable, bodies: Callable, window: int, seed: int, longer_seed: int, bits: int, own_document: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -251,7 +261,7 @@ def sender(units: Callable, bodies: Callable, window: int, seed: int, longer_see
         begin = np.cumsum(length) - length
         order = np.lexsort((pos, doc, content, shard))
         shard, content, doc, pos, size, at, begin, length = (x[order] for x in (shard, content, doc, pos, size, at, begin, length))
-        bytes_, offs = _picked(text, begin, begin + length)
+        bytes_, offs = picked(text, begin, begin + length)
         kept, gone = fold((bytes_, offs), shard, content, doc, pos, own_document)
         # a text that is alone under its seed, here and elsewhere, has nothing to be compared with
         left = np.flatnonzero(kept)
@@ -261,7 +271,7 @@ def sender(units: Callable, bodies: Callable, window: int, seed: int, longer_see
         place = np.minimum(place, max(len(anchors) - 1, 0))
         alone &= (anchors[place] == shard[left].view(np.uint64)) & ~met[place] if len(left) else alone
         left = left[~alone]
-        text, ends = _picked(bytes_, offs[left], offs[left + 1])
+        text, ends = picked(bytes_, offs[left], offs[left + 1])
         rows = batch_of(ROWS, shard[left], content[left], doc[left], pos[left], size[left], at[left], pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())]))
         d, s, e = merged(doc[gone], pos[gone], pos[gone] + size[gone])
         none = np.zeros(len(d), np.int64)
@@ -277,9 +287,8 @@ def recut(values_offsets, anchor, _, of, pos, size, __, window: int, longer_seed
     Every window is in one block with the longer seed too, and equal windows meet there; the old seed is part of the new key.
     """
     values, starts = values_offsets
-    own = np.concatenate([[0], np.cumsum(size)])
-    picked = values[np.repeat(starts[of] + pos, size) + runs(size)]
-    key, inner, row, rel, length, seed_at = anchored_blocks(picked, own, window, longer_seed)
+    text, own = picked(values, starts[of] + pos, starts[of] + pos + size)
+    key, inner, row, rel, length, seed_at = anchored_blocks(text, own, window, longer_seed)
     shard = (anchor[row] ^ (key << np.uint64(13)) ^ np.uint64(1 << 63)).view(np.int64)
     return shard, inner, of[row], pos[row] + rel, length, seed_at
 

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, runs, string_buffers
-from .seeds import _picked, chunked, repeated_spans, span_mask, with_spans
+from .seeds import chunked, repeated_spans, span_mask, with_spans
 
 WINDOW = 50
 SEED = 16
 #: A seed with more different blocks than this is cut again by seeds of one word less than the window.
-CROWD = 20_000
+CROWD = 2_000
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -162,7 +162,8 @@ QUERIES = {"op5_substring_dedup": op5_substring_dedup}
 ORACLES = {
     "op5_substring_dedup": r"""
 WITH doc AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS t
   FROM doc, LATERAL (SELECT unnest(range(1, greatest(len(w) - 48, 1))) AS i)

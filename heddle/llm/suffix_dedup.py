@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import string_buffers
-from .seeds import _picked, chunked, repeated_spans, span_mask, with_spans
+from .seeds import chunked, picked, repeated_spans, span_mask, with_spans
 
 LENGTH = 100
 SEED = 24
 #: A seed with more different blocks than this is cut again by seeds four bytes shorter than the whole.
-CROWD = 20_000
+CROWD = 2_000
 _SEPARATOR = 0xFF  # in no UTF-8 text
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -165,7 +165,7 @@ def byte_units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def byte_bodies(data, offs, doc, pos, size) -> tuple[np.ndarray, np.ndarray]:
     first = offs[doc] + pos
-    return _picked(data, first, first + size)
+    return picked(data, first, first + size)
 
 
 def cut_bytes(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, spans: tuple[np.ndarray, ...]) -> pa.RecordBatch:
