@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -13,6 +15,8 @@ OTHER_WEIGHT = 0.2
 DECAY = 0.55
 LEAST_MASS = 1e-6
 REASONS = 3
+#: Rows of a frontier, of nodes or of visited places that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 CONFIG_SCHEMA = "config string, hops int, min_confidence double, include_modules boolean"
 
 
@@ -34,61 +38,83 @@ def step_weight(relation: Column, forward: bool) -> Column:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Each edge as a step from either end: node, nb, relation, weight, confidence.
+    """Each edge as a step from either end: node, nb, relation, back, weight, confidence.
 
-    ``edges``: src, dst, relation, confidence (null counts as 1).
+    ``edges``: src, dst, relation, confidence (null counts as 1). ``back``: the step goes against the edge.
     """
-    sure = F.coalesce("confidence", F.lit(1.0))
-    along = edges.select(F.col("src").alias("node"), F.col("dst").alias("nb"), "relation", step_weight(F.col("relation"), True).alias("weight"), sure.alias("confidence"), F.lit("->").alias("way"))
-    against = edges.select(F.col("dst").alias("node"), F.col("src").alias("nb"), "relation", step_weight(F.col("relation"), False).alias("weight"), sure.alias("confidence"), F.lit("<-").alias("way"))
-    return along.unionByName(against)
+    ends = [(F.col("src"), F.col("dst"), False), (F.col("dst"), F.col("src"), True)]
+    steps = F.array(*(F.struct(a.alias("node"), b.alias("nb"), F.lit(back).alias("back"), step_weight(F.col("relation"), not back).alias("weight")) for a, b, back in ends))
+    return edges.select(F.explode(steps).alias("s"), "relation", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).select("s.*", "relation", "confidence")
+
 
+def few(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is a kept table of few rows."""
+    return F.broadcast(df) if df.count() <= at_most else df
 
-def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, settings: DataFrame, decay: float = DECAY) -> DataFrame:
-    """issue_id, config, node, distance, mass, reasons: what each issue's seeds reach under each setting.
+
+def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, settings: DataFrame, decay: float = DECAY, reasons: bool = True, label: Callable[[Column], Column] = lambda node: node) -> DataFrame:
+    """issue_id, config, node, distance, mass, visits, reasons: what each issue's seeds reach under each setting.
 
     ``nodes``: node, is_module. ``seeds``: issue_id, node, weight (null is 1; a node given twice adds up; unknown nodes
     are left out). ``settings``: CONFIG_SCHEMA. A node's mass is split over its traversable steps, those to modules and
     to visited nodes included; modules then lose theirs unless the setting includes them. A node takes all of its mass
-    in the hop that first reaches it, and seeds keep their own. Each hop is one job over all issues and settings, and
-    its table is in the shared folder.
+    in the hop that first reaches it, and seeds keep their own. visits counts the contributions to a node, reasons are
+    the largest three of them, if asked for, with ``label`` naming the node that each came from.
+
+    Nodes get numbers, and their steps are kept once as a table of numbers. Settings that differ in their hops alone
+    share a walk. A hop reads the steps of frontier nodes only, and counts degrees for these: a small frontier is
+    broadcast to the steps, which then do not move. Each hop is one job over all issues and walks.
     """
-    base = seeds.join(nodes, "node").groupBy("issue_id", "node").agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("mass"))
-    grid = settings.select("config", "hops", "min_confidence", "include_modules")
-    known = nodes.select(F.col("node").alias("nb"), "is_module")
-    steps = materialise(adjacency(materialise(edges.select("src", "dst", "relation", "confidence"), "edges")).join(known, "nb"), "steps")
-    # degrees and steps for each floor of confidence, not for each setting
-    floors = settings.select("min_confidence").distinct()
-    open_steps = steps.join(F.broadcast(floors), (F.col("relation") != "calls") | (F.col("confidence") >= F.col("min_confidence")))
-    degree = open_steps.groupBy("min_confidence", "node").agg(F.count("*").alias("degree"))
-    shares = materialise(open_steps.join(degree, ["min_confidence", "node"]).select("min_confidence", "node", "nb", "is_module", "relation", "way", (F.col("weight") * F.col("confidence") / F.col("degree") * decay).alias("share")), "shares")
-    hop = materialise(base.crossJoin(F.broadcast(grid)).select("issue_id", "config", "node", F.lit(0).alias("distance"), "mass", F.array().cast("array<string>").alias("reasons")), "hop")
+    spark = edges.sparkSession
+    rows = settings.select("config", "hops", "min_confidence", "include_modules").collect()
+    ways = sorted({(r.min_confidence, r.include_modules) for r in rows})
+    grid = F.broadcast(spark.createDataFrame([(*r, ways.index((r.min_confidence, r.include_modules))) for r in rows], CONFIG_SCHEMA + ", walk int"))
+    walks = grid.groupBy("walk", "min_confidence", "include_modules").agg(F.max("hops").alias("most"))
+    walks = F.broadcast(spark.createDataFrame(walks.collect(), "walk int, min_confidence double, include_modules boolean, most int"))
+    known = materialise(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "is_module"), "nodes")
+    named = few(known)
+    steps = adjacency(edges).join(named.select("node", F.col("id").alias("a")), "node").join(named.select(F.col("node").alias("nb"), F.col("id").alias("b"), "is_module"), "nb")
+    steps = materialise(steps.select("a", "b", "is_module", "relation", "back", "confidence", (F.col("weight") * F.col("confidence")).alias("weight")), "steps")
+    base = seeds.join(known, "node").groupBy("issue_id", F.col("id").alias("a")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("mass"))
+    start = F.array(F.lit("seed")) if reasons else F.array().cast("array<string>")
+    hop = materialise(base.crossJoin(walks).select("issue_id", "walk", "a", F.lit(0).alias("distance"), "mass", F.lit(0).cast("long").alias("visits"), start.alias("reasons")), "hop")
     visited = hop
-    most = settings.agg(F.max("hops")).first()[0] or 0
-    for h in range(1, most + 1):
-        front = hop.join(F.broadcast(grid.filter(F.col("hops") >= h)), "config")
-        moved = front.join(shares, ["min_confidence", "node"]).filter(F.col("include_modules") | ~F.col("is_module"))
-        moved = moved.select("issue_id", "config", F.col("nb").alias("node"), (F.col("mass") * F.col("share")).alias("part"), F.concat_ws(" ", "way", "relation", F.col("node")).alias("reason"))
-        fresh = moved.filter(F.col("part") > LEAST_MASS).join(visited.select("issue_id", "config", "node"), ["issue_id", "config", "node"], "left_anti")
-        top = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("part")).alias("p"), "reason"))), 1, REASONS), lambda r: r["reason"])
-        hop = materialise(fresh.groupBy("issue_id", "config", "node").agg(F.sum("part").alias("mass"), top.alias("reasons")).select("issue_id", "config", "node", F.lit(h).alias("distance"), "mass", "reasons"), "hop")
-        visited = visited.unionByName(hop)
-        if hop.isEmpty():
+    is_open = (F.col("relation") != "calls") | (F.col("confidence") >= F.col("min_confidence"))
+    for h in range(1, max((r.hops for r in rows), default=0) + 1):
+        held = hop.count()
+        if not held:
             break
-    return visited
+        small = F.broadcast if held <= BROADCAST_ROWS else lambda df: df
+        front = hop.join(walks.filter(F.col("most") >= h), "walk").select("issue_id", "walk", "min_confidence", "include_modules", "a", "mass")
+        degree = steps.join(small(front.select("a", "min_confidence").distinct()), "a").filter(is_open).groupBy("min_confidence", "a").agg(F.count("*").alias("degree"))
+        front = front.join(small(degree), ["min_confidence", "a"]).withColumn("mass", F.col("mass") * decay / F.col("degree"))
+        moved = steps.join(small(front), "a").filter(is_open & (F.col("include_modules") | ~F.col("is_module")))
+        moved = moved.select("issue_id", "walk", "b", (F.col("mass") * F.col("weight")).alias("part"), "relation", "back", "a").filter(F.col("part") > LEAST_MASS)
+        fresh = moved.join(few(visited.select("issue_id", "walk", F.col("a").alias("b"))), ["issue_id", "walk", "b"], "left_anti")
+        found = fresh.groupBy("issue_id", "walk", "b").agg(F.sum("part").alias("mass"), F.count("*").alias("visits"))
+        if reasons:  # only the largest contributions are gathered, whatever the number of those to a hub
+            told = fresh.join(named.select(F.col("id").alias("a"), label(F.col("node")).alias("from")), "a")
+            told = told.select("issue_id", "walk", "b", "part", F.concat("relation", F.when(F.col("back"), " from ").otherwise(" to "), "from", F.lit(f" @{h}")).alias("reason"))
+            order = F.row_number().over(Window.partitionBy("issue_id", "walk", "b").orderBy(F.desc("part"), "reason"))
+            top = told.withColumn("n", order).filter(F.col("n") <= REASONS).groupBy("issue_id", "walk", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "reason"))), lambda r: r["reason"]).alias("reasons"))
+            found = found.join(top, ["issue_id", "walk", "b"])
+        else:
+            found = found.withColumn("reasons", start)
+        hop = materialise(found.select("issue_id", "walk", F.col("b").alias("a"), F.lit(h).alias("distance"), "mass", "visits", "reasons"), "hop")
+        visited = visited.unionByName(hop)
+    reached = visited.join(grid, "walk").filter(F.col("distance") <= F.col("hops")).join(named.select(F.col("id").alias("a"), "node"), "a")
+    return reached.select("issue_id", "config", "node", "distance", "mass", "visits", "reasons")
 
 
 def ranked(reached: DataFrame) -> DataFrame:
     """``spread``'s rows with score (six digits) and rank: seeds first, then by score, ties by node."""
-    from pyspark.sql import Window
-
     scored = reached.withColumn("score", rounded(F.col("mass")))
     order = Window.partitionBy("issue_id", "config").orderBy((F.col("distance") != 0).cast("int"), F.desc("score"), "node")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
 def spread_stats(reached: DataFrame, seeds: DataFrame) -> DataFrame:
-    """issue_id, config, seeds_given, seeds_found, reached and the last hop that reached anything."""
+    """issue_id, config, seeds_given, seeds_found, reached, expansions and the last hop that reached anything."""
     given = seeds.groupBy("issue_id").agg(F.countDistinct("node").alias("seeds_given"))
-    got = reached.groupBy("issue_id", "config").agg(F.count_if(F.col("distance") == 0).alias("seeds_found"), F.count("*").alias("reached"), F.max("distance").alias("hops"))
+    got = reached.groupBy("issue_id", "config").agg(F.count_if(F.col("distance") == 0).alias("seeds_found"), F.count("*").alias("reached"), F.sum("visits").alias("expansions"), F.max("distance").alias("hops"))
     return given.join(got, "issue_id", "left")

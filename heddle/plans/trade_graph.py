@@ -24,11 +24,12 @@ def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     sure = F.when(F.col("l_discount") > 0.05, 0.5).otherwise(1.0)
-    return lines.join(orders, "l_orderkey").select(named("c", "o_custkey").alias("src"), named("p", "l_partkey").alias("dst"), F.lit("calls").alias("relation"), sure.alias("confidence"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("ord"))
+    at = F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")
+    return lines.join(orders, "l_orderkey").select(named("c", "o_custkey").alias("src"), named("p", "l_partkey").alias("dst"), F.lit("calls").alias("relation"), sure.alias("confidence"), F.col("l_orderkey").alias("line"), at.alias("at"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = graphs.last_edge_wins(call_rows(spark, sf_dir), ["line", "ord", "confidence"], ["confidence", "line"]).select("src", "dst", "relation", "confidence")
+    calls = graphs.last_edge_wins(call_rows(spark, sf_dir), ["at"], ["confidence", "line"]).select("src", "dst", "relation", "confidence")
     one = F.lit(None).cast("double").alias("confidence")
     ships = table(spark, sf_dir, "lineitem").select(named("s", "l_suppkey").alias("src"), named("p", "l_partkey").alias("dst")).distinct().select("src", "dst", F.lit("inherits").alias("relation"), one)
     home = [table(spark, sf_dir, t).select(named("n", f"{k}_nationkey").alias("src"), named(k, key).alias("dst"), F.lit("contains").alias("relation"), one) for t, k, key in (("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey"))]
@@ -43,54 +44,53 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def seeds(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    """A nation's suppliers, for each nation that the condition picks."""
-    home = table(spark, sf_dir, "nation").filter(condition).select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, sf_dir, "supplier").join(F.broadcast(home), "s_nationkey").select(F.col("s_nationkey").cast("string").alias("issue_id"), named("s", "s_suppkey").alias("node"), F.lit(1.0).alias("weight"))
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issue for each region, seeded with all its suppliers."""
+    home = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    return table(spark, sf_dir, "supplier").join(home, "s_nationkey").select(F.col("n_regionkey").cast("string").alias("issue_id"), named("s", "s_suppkey").alias("node"), F.lit(1.0).alias("weight"))
 
 
-def reach(spark: SparkSession, sf_dir: str, condition: str, settings: list[tuple[str, int, float, bool]]) -> DataFrame:
-    return propagate.spread(edges(spark, sf_dir), nodes(spark, sf_dir), seeds(spark, sf_dir, condition), propagate.configs(spark, settings))
+def reach(spark: SparkSession, sf_dir: str, settings: list[tuple[str, int, float, bool]], reasons: bool = False) -> DataFrame:
+    return propagate.spread(edges(spark, sf_dir), nodes(spark, sf_dir), seeds(spark, sf_dir), propagate.configs(spark, settings), reasons=reasons)
 
 
-ONE_NATION, ONE_REGION = "n_nationkey = 3", "n_regionkey = 2"
 GRID = [("h3_c00", 3, 0.0, False), ("h3_c30", 3, 0.3, False), ("h3_c60", 3, 0.6, False), ("h3_c86", 3, 0.86, False), ("h1_c00", 1, 0.0, False), ("h2_c00", 2, 0.0, False), ("h4_c00", 4, 0.0, False), ("seeds_only", 0, 0.0, False)]
 
 
-def _ranked(condition: str, settings: list[tuple[str, int, float, bool]]):
+def _ranked(settings: list[tuple[str, int, float, bool]]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = propagate.ranked(reach(spark, sf_dir, condition, settings))
+        out = propagate.ranked(reach(spark, sf_dir, settings))
         return out.select("issue_id", "config", "node", "distance", "score", "rank")
 
     return query
 
 
 def reasons_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reach(spark, sf_dir, ONE_REGION, [("h1", 1, 0.0, True)])
+    out = reach(spark, sf_dir, [("h1", 1, 0.0, True)], reasons=True)
     return out.filter("distance = 1").select("issue_id", "node", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = propagate.ranked(reach(spark, sf_dir, ONE_REGION, [("h2", 2, 0.0, False)]))
+    out = propagate.ranked(reach(spark, sf_dir, [("h2", 2, 0.0, False)]))
     return out.filter("rank <= 25").select("issue_id", "node", "score", "rank")
 
 
 def walk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = reach(spark, sf_dir, ONE_REGION, [("h2", 2, 0.0, False), ("h1", 1, 0.0, False)])
-    return propagate.spread_stats(reached, seeds(spark, sf_dir, ONE_REGION))
+    reached = reach(spark, sf_dir, [("h2", 2, 0.0, False), ("h1", 1, 0.0, False)])
+    return propagate.spread_stats(reached, seeds(spark, sf_dir))
 
 
 def ablation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at k of parts that the seeds shipped in quantity, for seven settings and the seeds alone."""
-    ranked = propagate.ranked(reach(spark, sf_dir, ONE_NATION, GRID)).select("issue_id", "config", "node", "rank")
-    at = seeds(spark, sf_dir, ONE_NATION).select("issue_id", "node")
+    ranked = propagate.ranked(reach(spark, sf_dir, GRID)).select("issue_id", "config", "node", "rank")
+    at = seeds(spark, sf_dir).select("issue_id", "node")
     gold = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(named("s", "l_suppkey").alias("node"), named("p", "l_partkey").alias("part")).join(at, "node").select("issue_id", F.col("part").alias("node")).distinct()
     gold = gold.crossJoin(F.broadcast(propagate.configs(spark, GRID).select("config")))
     return evaluate.recall_at_k(ranked, gold, ["issue_id", "config"], "node", levels=(1, 3, 5, 10, 20, 200))
 
 
 def typed_edges_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.last_edge_wins(call_rows(spark, sf_dir), ["line", "ord", "confidence"], ["confidence", "line"])
+    return graphs.last_edge_wins(call_rows(spark, sf_dir), ["at"], ["confidence", "line"])
 
 
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,24 +127,24 @@ lines AS (
 )"""
 
 
-def spread_sql(condition: str, settings: list[tuple[str, int, float, bool]]) -> str:
+def spread_sql(settings: list[tuple[str, int, float, bool]]) -> str:
     """WITH-clauses that end in ``reached``: the spread unrolled, one set of clauses for each hop."""
     values = ", ".join(f"('{c}', {h}, CAST({m} AS DOUBLE), {str(i).upper()})" for c, h, m, i in settings)
     case = lambda k: "CASE relation " + " ".join(f"WHEN '{r}' THEN CAST({w[k]} AS DOUBLE)" for r, w in propagate.RELATION_WEIGHTS.items()) + f" ELSE {propagate.OTHER_WEIGHT} END"
     clauses = [
         _EDGES.strip(),
         f"settings(config, hops, floor, with_modules) AS (VALUES {values})",
-        f"seeds AS (SELECT CAST(s_nationkey AS VARCHAR) AS issue_id, 's' || s_suppkey AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE {condition})",
-        f"adj AS (SELECT src AS node, dst AS nb, relation, {case(1)} AS weight, confidence, '->' AS way FROM edges UNION ALL SELECT dst, src, relation, {case(0)}, confidence, '<-' FROM edges)",
+        "seeds AS (SELECT CAST(n_regionkey AS VARCHAR) AS issue_id, 's' || s_suppkey AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey)",
+        f"adj AS (SELECT src AS node, dst AS nb, relation, {case(1)} AS weight, confidence, ' to ' AS way FROM edges UNION ALL SELECT dst, src, relation, {case(0)}, confidence, ' from ' FROM edges)",
         "opened AS (SELECT f.floor, a.*, n.is_module FROM adj a JOIN nodes n ON a.nb = n.node JOIN (SELECT DISTINCT floor FROM settings) f ON a.relation <> 'calls' OR a.confidence >= f.floor)",
         "degree AS (SELECT floor, node, count(*) AS degree FROM opened GROUP BY ALL)",
-        f"shares AS MATERIALIZED (SELECT o.floor, o.node, o.nb, o.is_module, o.relation, o.way, o.weight * o.confidence / d.degree * {propagate.DECAY} AS share FROM opened o JOIN degree d ON o.floor = d.floor AND o.node = d.node)",
-        "hop0 AS (SELECT issue_id, config, node, 0 AS distance, sum(CAST(1.0 AS DOUBLE)) AS mass, CAST([] AS VARCHAR[]) AS reasons FROM seeds, settings GROUP BY issue_id, config, node)",
+        f"shares AS MATERIALIZED (SELECT o.floor, o.node, o.nb, o.is_module, o.relation, o.way, o.weight * o.confidence AS share, d.degree FROM opened o JOIN degree d ON o.floor = d.floor AND o.node = d.node)",
+        "hop0 AS (SELECT issue_id, config, node, 0 AS distance, sum(CAST(1.0 AS DOUBLE)) AS mass, 0 AS visits, CAST([] AS VARCHAR[]) AS reasons FROM seeds, settings GROUP BY issue_id, config, node)",
         "seen0 AS (SELECT * FROM hop0)",
     ]
     for h in range(1, max(s[1] for s in settings) + 1):
-        clauses.append(f"""hop{h} AS MATERIALIZED (SELECT issue_id, config, node, {h} AS distance, sum(part) AS mass, list_transform(list_sort(list({{'p': -part, 'reason': reason}}))[1:3], lambda r: r.reason) AS reasons
-  FROM (SELECT f.issue_id, f.config, s.nb AS node, f.mass * s.share AS part, s.way || ' ' || s.relation || ' ' || f.node AS reason
+        clauses.append(f"""hop{h} AS MATERIALIZED (SELECT issue_id, config, node, {h} AS distance, sum(part) AS mass, count(*) AS visits, list_transform(list_sort(list({{'p': -part, 'reason': reason}}))[1:3], lambda r: r.reason) AS reasons
+  FROM (SELECT f.issue_id, f.config, s.nb AS node, f.mass * {propagate.DECAY} / s.degree * s.share AS part, s.relation || s.way || f.node || ' @{h}' AS reason
         FROM hop{h - 1} f JOIN settings t ON f.config = t.config AND t.hops >= {h} JOIN shares s ON s.node = f.node AND s.floor = t.floor WHERE t.with_modules OR NOT s.is_module) m
   WHERE part > {propagate.LEAST_MASS} AND NOT EXISTS (SELECT 1 FROM seen{h - 1} v WHERE v.issue_id = m.issue_id AND v.config = m.config AND v.node = m.node) GROUP BY issue_id, config, node)""")
         clauses.append(f"seen{h} AS (SELECT * FROM seen{h - 1} UNION ALL SELECT * FROM hop{h})")
@@ -155,12 +155,12 @@ def spread_sql(condition: str, settings: list[tuple[str, int, float, bool]]) ->
 
 _RANKED = "SELECT issue_id, config, node, distance, score, rank FROM ranked"
 _BLASTS = {
-    "blast_1hop": (ONE_REGION, [("h1", 1, 0.0, False)]),
-    "blast_2hop": (ONE_REGION, [("h2", 2, 0.0, False)]),
-    "blast_3hop": (ONE_NATION, [("h3", 3, 0.0, False), ("h3_modules", 3, 0.0, True)]),
-    "blast_min_conf": (ONE_REGION, [("c00", 2, 0.0, False), ("c60", 2, 0.6, False)]),
+    "blast_1hop": [("h1", 1, 0.0, False)],
+    "blast_2hop": [("h2", 2, 0.0, False)],
+    "blast_3hop": [("h3", 3, 0.0, False), ("h3_modules", 3, 0.0, True)],
+    "blast_min_conf": [("c00", 2, 0.0, False), ("c60", 2, 0.6, False)],
 }
-QUERIES = {name: _ranked(*args) for name, args in _BLASTS.items()} | {
+QUERIES = {name: _ranked(settings) for name, settings in _BLASTS.items()} | {
     "reasons_top3": reasons_top3,
     "rank_topk": rank_topk,
     "walk_stats": walk_stats,
@@ -169,12 +169,12 @@ QUERIES = {name: _ranked(*args) for name, args in _BLASTS.items()} | {
     "fan_in_out": fan_in_out,
     "module_edges": module_edges,
 }
-ORACLES = {name: spread_sql(*args) + _RANKED for name, args in _BLASTS.items()} | {
-    "reasons_top3": spread_sql(ONE_REGION, [("h1", 1, 0.0, True)]) + "SELECT issue_id, node, array_to_string(reasons, '; ') AS reasons FROM reached WHERE distance = 1",
-    "rank_topk": spread_sql(ONE_REGION, [("h2", 2, 0.0, False)]) + "SELECT issue_id, node, score, rank FROM ranked WHERE rank <= 25",
-    "walk_stats": spread_sql(ONE_REGION, [("h2", 2, 0.0, False), ("h1", 1, 0.0, False)])
-    + "SELECT issue_id, (SELECT count(DISTINCT node) FROM seeds s WHERE s.issue_id = r.issue_id) AS seeds_given, config, count(*) FILTER (distance = 0) AS seeds_found, count(*) AS reached, max(distance) AS hops FROM reached r GROUP BY issue_id, config",
-    "ablation_grid": spread_sql(ONE_NATION, GRID)
+ORACLES = {name: spread_sql(settings) + _RANKED for name, settings in _BLASTS.items()} | {
+    "reasons_top3": spread_sql([("h1", 1, 0.0, True)]) + "SELECT issue_id, node, array_to_string(reasons, '; ') AS reasons FROM reached WHERE distance = 1",
+    "rank_topk": spread_sql([("h2", 2, 0.0, False)]) + "SELECT issue_id, node, score, rank FROM ranked WHERE rank <= 25",
+    "walk_stats": spread_sql([("h2", 2, 0.0, False), ("h1", 1, 0.0, False)])
+    + "SELECT issue_id, (SELECT count(DISTINCT node) FROM seeds s WHERE s.issue_id = r.issue_id) AS seeds_given, config, count(*) FILTER (distance = 0) AS seeds_found, count(*) AS reached, CAST(sum(visits) AS BIGINT) AS expansions, max(distance) AS hops FROM reached r GROUP BY issue_id, config",
+    "ablation_grid": spread_sql(GRID)
     + """, gold AS (SELECT DISTINCT s.issue_id, 'p' || l_partkey AS node FROM lineitem JOIN seeds s ON s.node = 's' || l_suppkey WHERE l_quantity >= 45)
 SELECT g.issue_id, t.config, CAST(k AS INTEGER) AS k, floor(count(r.node) / CAST(count(*) AS DOUBLE) * 1000000 + 0.500001) / 1000000 AS recall, count(r.node) > 0 AS any_hit
 FROM gold g CROSS JOIN settings t CROSS JOIN (SELECT unnest([1, 3, 5, 10, 20, 200]) AS k) ks
