@@ -123,14 +123,13 @@ def contamination(rows, items, window=13, share=20):
 def top_k(vectors, every, k, scale=64):
     import math
 
-    whole = {}
+    whole = []
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(scale * float(x)) for x in v]
-            whole[i] = min(whole.get(i, q), q)
-    out = set()
-    for a, v in whole.items():
+            whole.append((i, [math.floor(scale * float(x)) for x in v]))
+    out = []
+    for own, (a, v) in enumerate(whole):
         if a % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), b) for b, w in whole.items() if b != a)
-            out |= {(a, r + 1, b, -s) for r, (s, b) in enumerate(scored[:k])}
-    return out
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), b) for row, (b, w) in enumerate(whole) if row != own)
+            out += [(a, r + 1, b, -s) for r, (s, b) in enumerate(scored[:k])]
+    return sorted(out)

@@ -185,11 +185,10 @@ def test_rollup(spark, tmp_path):
 def test_top_k(spark, shard):
     rnd = random.Random(3)
     rows = [(i, [rnd.gauss(0, 0.3) for _ in range(12)]) for i in range(150)]
-    rows += [(200 + i, list(rows[i][1])) for i in range(20)] + [(300, None), (305, [None] * 12), (310, [float("nan")] * 12), (315, [float("inf")] * 12), (None, [0.1] * 12), (320, [0.0] * 12), (325, [1e300] * 12), (20, [9.0] * 12), (330, [0.5, -0.25])]
+    rows += [(200 + i, list(rows[i][1])) for i in range(20)] + [(300, None), (305, [None] * 12), (310, [float("nan")] * 12), (315, [float("inf")] * 12), (None, [0.1] * 12), (320, [0.0] * 12), (325, [5e7] + [0.0] * 11), (20, [9.0] * 12), (20, [9.0] * 12), (330, [0.5, -0.25])]
     df = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows], "vec_id long, embedding array<float>, q int, score double")
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 5 == 0, k=7, shard=shard).collect()}
-    plain = [(i, None if v is not None and any(x is not None and abs(x) > 1e30 for x in v) else v) for i, v in [(r.vec_id, r.embedding) for r in df.collect()]]
-    assert got == brute.top_k(plain, 5, 7)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 5 == 0, k=7, shard=shard).collect())
+    assert got == brute.top_k([(r.vec_id, r.embedding) for r in df.collect()], 5, 7)
     few = df.filter("vec_id < 3")
     assert topk_search.top_k(few, F.col("vec_id") == 0, k=7).count() == 2
     assert topk_search.top_k(df.limit(0), F.col("vec_id") == 0).collect() == []
@@ -202,12 +201,28 @@ def test_max_score_prunes_and_stays_exact():
     rnd = np.random.default_rng(1)
     vectors = rnd.integers(-5, 6, (5000, 16))
     vectors[:, 0] *= 100_000
-    queries = vectors[:6]
-    q, v, s = topk_search.Shard(np.arange(5000), vectors).search(np.arange(6), queries, 10)
-    whole = queries @ vectors.T
-    for i in range(6):
-        order = sorted((-int(whole[i, j]), j) for j in range(5000) if j != i)[:10]
-        assert [(-int(a), int(b)) for a, b in zip(s[q == i], v[q == i], strict=True)] == order
-    huge = vectors * 1_000_000
-    q, v, s = topk_search.Shard(np.arange(5000), huge).search(np.arange(1), huge[:1], 3)
-    assert s.tolist() == sorted((huge[:1] @ huge.T)[0].tolist()[1:], reverse=True)[:3]
+    ids = np.arange(5000)
+    for kind in (np.float64, object):
+        shard = topk_search.Shard(ids, ids, vectors.astype(kind))
+        q, places, scores = shard.search(np.arange(6), vectors[:6].astype(kind), 10)
+        for i in range(6):
+            whole = vectors @ vectors[i]
+            order = sorted((-int(whole[j]), j) for j in range(5000) if j != i)[:10]
+            assert [(-int(a), int(b)) for a, b in zip(scores[q == i], places[q == i], strict=True)] == order
+    huge = vectors.astype(object) * 10**12
+    _, places, scores = topk_search.Shard(ids, ids, huge).search(np.arange(1), vectors[:1].astype(np.float64), 3)
+    assert list(scores) == sorted((huge @ vectors[0].astype(object)).tolist()[1:], reverse=True)[:3]
+
+
+def test_postings_hold_each_sign():
+    import numpy as np
+
+    block = topk_search.Block(np.array([[2.0, -1.0], [0.0, 3.0], [-4.0, 0.0]]))
+    assert block.postings.tolist() == [[2, 0, 0], [0, 3, 0], [0, 0, 4], [1, 0, 0]] and block.largest.tolist() == [2, 3, 4, 1]
+
+
+def test_a_score_beyond_long_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0]), (2, [1e-30, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)overflow|too (big|large)|convert"):
+        topk_search.top_k(df, F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in topk_search.top_k(df, F.col("vec_id") == 2, k=1).collect()] != []
