@@ -158,6 +158,132 @@ def test_licenses(spark):
     assert license_scan.license_scan(frame(spark, [])).collect() == []
 
 
+# Notices as they stand in files: wrapped, some in comments.
+WRAPPED = {
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the
+Free Software Foundation; either version 2 of the License, or (at your
+option) any later version.
+""",
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, A. N. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    * Redistributions of source code must retain the above copyright
+      notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright
+      notice, this list of conditions and the following disclaimer in the
+      documentation and/or other materials provided with the distribution.
+    * Neither the name of the copyright holder nor the
+      names of its contributors may be used to endorse or promote products
+      derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+""",
+    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.
+""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty.
+In no event will the authors be held liable for any damages.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+2. Altered source versions must be plainly marked as such.
+3. This notice may not be removed or altered from any source distribution.
+""",
+    "GPL-2.0-only": "/* SPDX-License-Identifier: GPL-2.0-only */\nint main(void) { return 0; }",
+    "Apache-2.0,MIT": "Licensed under either of Apache License, Version 2.0\nor the MIT license, as you like.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v2.0.",
+    "AGPL-3.0": "Released under the GNU AGPL v3.",
+    "LGPL": "Linked with a library under the GNU LGPL",
+    "BSD-3-Clause,MIT": "Parts are released under the New BSD License.\nThe rest is licensed under the MIT license.",
+    "": "The apache helicopter has a mit license plate. He got a license to teach under the bridge, with rubies.",
+}
+
+
+def test_wrapped_licenses(spark):
+    rows = list(enumerate(WRAPPED.values()))
+    got = {r.doc_id: set(r.licenses.split(",")) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {i: set(name.split(",")) for i, name in enumerate(WRAPPED)}
+
+
+def test_many_licenses_by_name(spark):
+    rows = [(i, f"This work is made available under the terms of\nthe {row[1]}.") for i, row in enumerate(license_scan.NAMES)]
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert len(rows) >= 60 and got == {i: row[0] for i, row in enumerate(license_scan.NAMES)}
+
+
 def test_rollup(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     schema = "kind string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, extra string"
