@@ -9,8 +9,9 @@ with the tokens it has over the common ones; tokens that all paths share are fin
 longest token, so a token is put out after a bounded lookahead. States and moves are made when first met and forgotten
 together once they number ``MOVES``; up to ``PIECES`` pieces, of those last met, are remembered.
 
-Decoding joins the bytes of tokens; a UTF-8 state machine, moved by whole tokens, says after each chunk how many bytes
-at its end belong to an unfinished character, so that text can be given out as it comes.
+Decoding takes ids a chunk at a time. A UTF-8 state machine, moved by whole tokens, says after each chunk how many bytes
+at its end belong to an unfinished character; these wait for the next chunk and the rest is given out, so that every part
+given out is text. The decoded bytes of the query come out of this stream.
 
 Null texts count as empty and give no tokens. A null doc_id is kept. Repeated rows give repeated rows; extra columns
 are ignored; an empty table gives an empty result.
@@ -38,6 +39,8 @@ APART = 200_000
 PIECES = 300_000
 #: Longer pieces are encoded anew each time.
 PIECE_REMEMBERED = 64
+#: Ids decoded at once.
+CHUNK = 1 << 14
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
 
@@ -276,21 +279,43 @@ class Decoder:
 
     def stream(self, chunks: Iterable[np.ndarray], errors: str = "replace") -> Iterator[str]:
         """The text of each chunk of ids as far as its characters are whole; the rest comes with a later one."""
-        held = b""
+        stream = Utf8Stream(self)
         for ids in chunks:
-            raw = held + self.bytes(np.asarray(ids, dtype=np.int64)).tobytes()
-            cut = len(raw)
-            for back in range(1, min(_PENDING_AT_MOST, cut) + 1):
-                if raw[cut - back] >= 0xC0:  # the last lead byte: is its character finished?
-                    state = 0
-                    for byte in raw[cut - back :]:
-                        state = int(_UTF8[state, byte])
-                    cut -= back if 0 < state < 8 else 0
-                    break
-            held = raw[cut:]
-            yield raw[:cut].decode("utf-8", errors)
-        if held:
-            yield held.decode("utf-8", errors)
+            yield stream.feed(np.asarray(ids, dtype=np.int64)).decode("utf-8", errors)
+        if rest := stream.end():
+            yield rest.decode("utf-8", errors)
+
+
+class Utf8Stream:
+    """Incremental decoding: the state of the UTF-8 machine, and the bytes of the character under way."""
+
+    def __init__(self, decoder: Decoder):
+        self.decoder, self.state, self.held = decoder, 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        raw = self.held + self.decoder.bytes(ids).tobytes()
+        self.state = self.decoder.state(ids, self.state)
+        cut = len(raw)
+        if self.state == 8:  # no UTF-8: what ends like an unfinished character still waits
+            cut -= self._unfinished(raw)
+        elif self.state:
+            cut -= next(back for back in range(1, _PENDING_AT_MOST + 1) if raw[cut - back] >= 0xC0)
+        self.held = raw[cut:]
+        return raw[:cut]
+
+    @staticmethod
+    def _unfinished(raw: bytes) -> int:
+        for back in range(1, min(_PENDING_AT_MOST, len(raw)) + 1):
+            if raw[-back] >= 0xC0:
+                state = 0
+                for byte in raw[-back:]:
+                    state = int(_UTF8[state, byte])
+                return back if 0 < state < 8 else 0
+        return 0
+
+    def end(self) -> bytes:
+        rest, self.held = self.held, b""
+        return rest
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -307,7 +332,16 @@ def _coder(path: str, pattern: str) -> tuple[Callable, _Pieces, Decoder]:
 
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
     split, pieces, _ = _coder(path, pattern)
-    return np.frombuffer(b"".join([pieces[p] for p in split(text)]), dtype="<u4")
+    return np.frombuffer(b"".join(map(pieces.__getitem__, split(text))), dtype="<u4")
+
+
+def decoded_digest(decoder: Decoder, ids: np.ndarray) -> tuple[str, bool]:
+    """The digest of the bytes that come out of the stream, and whether they are UTF-8."""
+    digest, stream = hashlib.sha256(), Utf8Stream(decoder)
+    for a in range(0, len(ids), CHUNK):
+        digest.update(stream.feed(ids[a : a + CHUNK]))
+    digest.update(stream.end())
+    return digest.hexdigest(), stream.state == 0
 
 
 def digest_rows(path: str, pattern: str):
@@ -318,12 +352,13 @@ def digest_rows(path: str, pattern: str):
         for rows, _, _ in slices(batches):
             n, digests, decoded, valid = [], [], [], []
             for text in rows.column(1).to_pylist():
-                raw = b"".join([pieces[p] for p in split(text or "")])
+                raw = b"".join(map(pieces.__getitem__, split(text or "")))
                 ids = np.frombuffer(raw, dtype="<u4").astype(np.int64)
                 n.append(len(ids))
                 digests.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(decoder.bytes(ids)).hexdigest())
-                valid.append(decoder.state(ids) == 0)
+                digest, whole = decoded_digest(decoder, ids)
+                decoded.append(digest)
+                valid.append(whole)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(valid, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 
     return run
@@ -336,11 +371,11 @@ def encode_rows(path: str, pattern: str, keep: list[str]):
         split, pieces, decoder = _coder(path, pattern)
         for rows, _, _ in slices(batches):
             texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
-            ids = [np.frombuffer(b"".join([pieces[p] for p in split(t or "")]), dtype="<u4").astype(np.int32) for t in texts]
+            ids = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t or ""))), dtype="<u4").astype(np.int32) for t in texts]
             sizes = [len(x) for x in ids]
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-            decoded = [hashlib.sha256(decoder.bytes(x)).hexdigest() for x in ids]
+            decoded = [decoded_digest(decoder, x)[0] for x in ids]
             yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(k)) for k in keep), lists, pa.array(sizes, pa.int64()), pa.array(decoded, pa.string())], names=[*keep, "ids", "n_tokens", "decoded_sha256"])
 
     return run

@@ -6,7 +6,8 @@ score links neighbouring labels. Forward and backward passes give each line's ma
 document's quality is their mean weighted by line length, passed through a logistic curve fitted with the model.
 
 Labels are of documents. The model is fitted on a bounded sample of labelled documents (``SAMPLE``, the least hashes of
-doc_id, so that every run takes the same): lines first take their document's label, an emission-only fit then finds the
+doc_id, so that every run takes the same; the sample ends where its lines would number over ``LINES``, and of a first
+document that is longer alone, so many lines are read): lines first take their document's label, an emission-only fit then finds the
 lines of bad documents that look good, which are relabelled, and the field is fitted to these labels. Sentences, words and
 ids themselves are no features, nor are lang and source.
 
@@ -22,15 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .arrays import Words, bounded_batches, mix, slices
 
-#: Labelled documents that a fit reads at most.
-SAMPLE = 4000
-#: A longer document is not learned from (it is scored like any other).
-MOST_LINES = 5000
+#: Labelled documents that a fit reads at most, and lines of all of them together.
+SAMPLE, LINES = 4000, 300_000
 ROUNDS = 150
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_share double"
 
@@ -231,30 +231,29 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def feature_rows(most_lines: int):
-    """mapInArrow: (doc_id, text, quality) to the features and lengths of each document's lines, if they are not too many."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches):
-            x, size, at = line_features(data, offs)
-            fits = np.flatnonzero(np.diff(at) <= most_lines)
-            packed = [x[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in fits]
-            sizes = [size[at[i] : at[i + 1]].astype(np.int64).tobytes() for i in fits]
-            take = pa.array(fits)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(2).take(take), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "quality", "features", "sizes"])
-
-    return run
+def feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (doc_id, text, quality) to the features and lengths of each document's lines, and their number."""
+    for rows, data, offs in slices(batches):
+        x, size, at = line_features(data, offs)
+        packed = [x[a:b].astype(np.float32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        sizes = [size[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary()), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "quality", "features", "sizes", "n_lines"])
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> LineField:
-    """Fit on ``sample`` labelled documents at most, of ``most_lines`` lines at most, none of them held out."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> LineField:
+    """Fit on ``sample`` labelled documents at most, of ``lines`` lines at most together, none of them held out."""
     bounded_batches(documents.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # ``sample`` ids and labels at most are broadcast, and the features of that many documents' lines collected
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(feature_rows(most_lines), "doc_id long, quality int, features binary, sizes binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
+    # ``sample`` ids and labels at most are broadcast; the features of their lines are kept as a table
+    kept = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(feature_rows, "doc_id long, quality int, features binary, sizes binary, n_lines long")
+    kept = materialise(kept.groupBy("doc_id").agg(F.min(F.struct("features", "sizes", "quality", "n_lines")).alias("r")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "r.*"), "line-features")
+    so_far = F.sum("n_lines").over(Window.orderBy("h", "doc_id"))  # of ``sample`` rows at most
+    within = kept.select("h", "doc_id", "n_lines").withColumn("so_far", so_far).filter((F.col("so_far") <= lines) | (F.col("so_far") == F.col("n_lines"))).select("doc_id")
+    row = 4 * len(FEATURES)
+    rows = kept.join(F.broadcast(within), "doc_id").select("h", "doc_id", "quality", F.substring("features", 1, lines * row).alias("features"), F.substring("sizes", 1, lines * 8).alias("sizes")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     x = np.concatenate([np.zeros((0, len(FEATURES)), np.float32), *(np.frombuffer(r.features, dtype=np.float32).reshape(-1, len(FEATURES)) for r in rows)])
     sizes = [np.frombuffer(r.sizes, dtype=np.int64) for r in rows]
     offs = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)

@@ -122,3 +122,43 @@ def test_very_long_text(spark):
     assert got[2].n_removed == 1_500_000 - 1 and got[3].n_removed == 400
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
     assert got[1].n_words == 400_000 and got[1].n_removed == 0
+
+
+def test_long_shards_hold_each_text_once():
+    """A shard that goes over many batches: repeated texts leave at once, the rest meets in one search."""
+    import numpy as np
+    import pyarrow as pa
+
+    from heddle.llm import seeds
+
+    def batch(rows):
+        return pa.RecordBatch.from_pylist([dict(zip(seeds.ROWS.names, r, strict=True)) for r in rows], schema=seeds.ROWS)
+
+    rows = [(1, 1, d, 0, 4, 0, b"same") for d in range(100)] + [(1, 2, d, 5, 5, 0, b"other") for d in range(50, 60)] + [(2, 1, 7, 0, 3, 0, b"two"), (3, 0, 9, 2, 6, 0, None)]
+    met = []
+
+    def solve(table):
+        met.append(table["body"].to_pylist())
+        return (np.zeros(0, np.int64),) * 3
+
+    read = seeds.shard_reader(solve, own_document=False, shard_bytes=16)
+    spans = [tuple(r.values()) for b in read(batch(rows[i : i + 7]) for i in range(0, len(rows), 7)) for r in b.to_pylist()]
+    assert [x for m in met for x in m] == [b"same", b"other", b"two"]
+    assert sorted(spans) == sorted([(d, 0, 4) for d in range(1, 100)] + [(d, 5, 10) for d in range(51, 60)] + [(9, 2, 8)])
+
+
+def test_equal_hashes_of_different_bytes():
+    """Neither a content hash nor a word's hash decides: bytes are compared."""
+    import numpy as np
+
+    from heddle.llm import seeds
+    from heddle.llm.arrays import Words
+
+    text = np.frombuffer(b"abcabdabc", np.uint8)
+    kept, gone = seeds.fold((text, np.array([0, 3, 6, 9])), np.zeros(3, np.int64), np.zeros(3, np.int64), np.array([1, 2, 3]), np.zeros(3, np.int64), False)
+    assert kept.all() and not gone.any()
+    data = np.frombuffer(b"ab cd ab ef cd", np.uint8)
+    words = Words(data, np.array([0, len(data)]))
+    words.hash = np.zeros(5, np.uint64)
+    a = substring_dedup.word_numbers(data, words)
+    assert a[0] == a[2] and a[1] == a[4] and len(set(a.tolist())) == 3

@@ -37,6 +37,26 @@ def test_pipeline(spark, tmp_path):
     assert {r.n_chars for r in got} == {len(t) for _, t in kept}
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names go through; an empty table gives an empty result."""
+    rows, marks = labelled(40)
+    rows = [(i, t, "en", "s", len(t), "clash", 1) for i, t in rows] + [(None, GOOD[0], None, None, None, None, None), (700, None, "en", "s", 0, None, 1), (701, "", "en", None, 0, "", 2), (702, GOOD[1] + " long" * 50_000, "en", "s", 1, "x", 3)]
+    rows += [rows[0], rows[0]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lost string, rid long"
+    for name, docs in (("full", rows), ("empty", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "not there"), (None, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at)
+        assert got.columns == ["doc_id", "lang", "source", "n_chars", "lost", "rid", "ids", "n_tokens", "decoded_sha256"]
+        found = got.collect()
+        assert bool(found) == bool(docs)
+        if docs:
+            assert None in {r.doc_id for r in found}  # a row without doc_id is no copy of any other
+            assert all(r.n_tokens == len(r.ids) for r in found)
+
+
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "decontamination", "tokens"]
     assert sorted({int(q[2:].split("_")[0]) for q in queries.queries()}) == list(range(1, 11))

@@ -75,6 +75,32 @@ def test_quality(spark):
     assert good <= {r.doc_id for r in kept.collect()}
 
 
+def test_quality_ranks_held_out_documents(spark):
+    """On the driver's tables, where they are: held-out documents are ranked and told apart."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf}/labels.parquet"):
+        pytest.skip("no driver tables")
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").collect()}
+    rows = [(r.score, truth[r.doc_id]) for r in quality_crf.op8_quality_crf(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    good, bad = [s for s, q in rows if q], [s for s, q in rows if not q]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(rows) > 50 and auc > 0.97
+    assert sum((s >= 0.5) == bool(q) for s, q in rows) / len(rows) > 0.95
+
+
+def test_a_fit_reads_a_bounded_number_of_lines(spark):
+    rows, marks = labelled()
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    rows = [(i, (t or "") + "\nmore of it" * 200) for i, t in rows]
+    for lines in (1, 50, 1000):
+        model = quality_crf.train(frame(spark, rows), labels, lines=lines)
+        assert model.constant is None or lines < 1000
+    rows = [(i, t + "\nline" * 6000) for i, t in rows]  # documents of any length are learned from
+    assert quality_crf.train(frame(spark, rows), labels).constant is None
+
+
 def test_quality_without_labels(spark):
     rows, _ = labelled(8)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
