@@ -34,8 +34,8 @@ PIECE = 1 << 19
 WINDOW_AT_MOST = 1 << 15
 _LOW = np.uint64((1 << 22) - 1)
 #: Bytes of text of a chunk on average, and of the text whose seeds a bucket counts.
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 64 << 20
-LEAST_BUCKETS = 32
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+LEAST_BUCKETS = 16
 #: Bytes of a chunk's text, and of blocks copied, handled by one vector operation.
 SLICE = 1 << 19
 #: Bytes of block text that one pass of a shard holds.
