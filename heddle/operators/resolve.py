@@ -13,7 +13,8 @@ from ..storage import materialise
 from .graphs import AMBIGUITY_AT_MOST, CONFIDENCE, first_owner_up, last_edge_wins, prefixes
 
 MODULE_SYMBOL = "<module>"
-EXPORT_ROUNDS = 8
+#: A chain of re-exports this long is an error, not an answer.
+EXPORT_ROUNDS = 1000
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,8 @@ def _export_table(symbols: DataFrame, refs: DataFrame, owned: DataFrame) -> Data
         same = after.exceptAll(exports).isEmpty() and exports.exceptAll(after).isEmpty()
         exports = after
         if same:
-            break
-    return exports
+            return exports
+    raise RuntimeError(f"re-exports were still changing after {EXPORT_ROUNDS} rounds")
 
 
 def _bindings(refs: DataFrame, modules: DataFrame, owner: DataFrame, exports: DataFrame) -> DataFrame:

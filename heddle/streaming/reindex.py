@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resolve import build_graph
+from ..storage import materialise
 
 CHANGES = "repo_id string, path string, source string, version long"
 
@@ -20,13 +21,12 @@ def newest(changes: DataFrame) -> DataFrame:
 class Reindexer:
     """Applies batches of changes to tables ``files``, ``nodes`` and ``edges`` under ``path``, by repository.
 
-    A batch is written under its own number before its repositories' edges are rebuilt, so that a batch that is sent
-    again gives the same tables.
+    A batch is written under its own number before its repositories' graphs are rebuilt, so that a batch that is sent
+    again gives the same tables. A repository that a batch leaves without rows in a table loses its partition there.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         batch.select("repo_id", "path", "source", "version").write.mode("overwrite").parquet(f"{self.path}/changes/batch={number}")
@@ -34,8 +34,17 @@ class Reindexer:
         touched = self.spark.read.schema(CHANGES).parquet(f"{self.path}/changes/batch={number}").select("repo_id").distinct()
         files = newest(log.join(touched, "repo_id", "left_semi")).filter("source IS NOT NULL")
         graph = build_graph(files)
-        for name, table in (("nodes", graph.nodes), ("edges", graph.edges)):
-            table.repartition("repo_id").write.mode("overwrite").partitionBy("repo_id").parquet(f"{self.path}/{name}")
+        for name, table in (("files", files), ("nodes", graph.nodes), ("edges", graph.edges)):
+            kept = materialise(table, name)
+            kept.repartition("repo_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.path}/{name}")
+            for row in touched.join(kept.select("repo_id").distinct(), "repo_id", "left_anti").toLocalIterator():
+                self._clear(name, row.repo_id)
+
+    def _clear(self, name: str, repo_id: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo_id)
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/repo_id={part}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")

@@ -143,10 +143,31 @@ def only(graph, repo):
 def test_render(graph):
     reexport = only(graph, "reexport")
     chart = render.to_mermaid(reexport)
-    assert chart.startswith("graph LR\n") and '["pkg/"]' in chart and chart.count("-->") == 3
-    assert "mid.py" not in render.to_mermaid(reexport, exclude=("mid",)) and "deep.py" in render.to_mermaid(reexport, exclude=("dee",))
+    assert chart.startswith("flowchart LR\n") and '("pkg/")' in chart and '("mid")' in chart and ".py" not in chart and chart.count("-->") == 3
+    assert '"mid"' not in render.to_mermaid(reexport, exclude=("mid",)) and '"deep"' in render.to_mermaid(reexport, exclude=("dee",))
     with pytest.raises(ValueError, match="max_nodes=2"):
         render.to_mermaid(reexport, max_nodes=2)
-    assert "empty[" in render.to_mermaid(only(graph, "external")) and render.to_dot(reexport).count("->") == 3
+    assert "nothing is imported" in render.to_mermaid(only(graph, "external")) and render.to_dot(reexport).count("->") == 3
     top = render.module_summary(only(graph, "hub")).first()
     assert (top.path, top.fan_in, top.fan_out) == ("util.py", 30, 0)
+
+
+def test_a_long_chain_of_re_exports(spark):
+    n = 13
+    files = [("r", f"m{i}.py", f"from m{i + 1} import thing\n") for i in range(n)] + [("r", f"m{n}.py", "def thing():\n    pass\n"), ("r", "other.py", "def thing():\n    pass\n"), ("r", "use.py", "import m0\ndef f():\n    m0.thing()\n")]
+    calls = build_graph(spark.createDataFrame(files, "repo_id string, path string, source string")).edges.filter("relation = 'calls'").collect()
+    assert [(c.src, c.dst, c.via) for c in calls] == [("use.py::f", f"m{n}.py::thing", "attribute")]
+
+
+def test_reindexing_forgets_what_went(spark, tmp_path):
+    from heddle.streaming.reindex import CHANGES, Reindexer
+
+    index = Reindexer(spark, f"file://{tmp_path}/index")
+    batch = lambda *rows: spark.createDataFrame(list(rows), CHANGES)
+    index.apply(batch(("r", "a.py", "def f():\n    g()\ndef g():\n    pass\n", 1), ("s", "b.py", "def h():\n    pass\n", 1)), 0)
+    count = lambda: {name: {r.repo_id: r["count"] for r in index.table(name).groupBy("repo_id").count().collect()} for name in ("files", "nodes", "edges")}
+    assert count() == {"files": {"r": 1, "s": 1}, "nodes": {"r": 3, "s": 2}, "edges": {"r": 3, "s": 1}}
+    index.apply(batch(("r", "a.py", None, 2)), 1)
+    spark.catalog.clearCache()
+    assert count() == {"files": {"s": 1}, "nodes": {"s": 2}, "edges": {"s": 1}}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").upper() == "STATIC"
