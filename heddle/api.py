@@ -8,10 +8,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import gold_files
-from .operators import evaluate, propagate, ranking
+from .functions.text import gold_files, literal_candidates
+from .operators import evaluate, literals, propagate, ranking
 from .operators.resolve import MODULE_SYMBOL, CodeGraph, build_graph
-from .operators.retrieve import BUDGET, K, GraphRetriever, build_retriever, contexts
+from .operators.retrieve import BUDGET, K, EmbeddingRetriever, GraphRetriever, build_retriever, contexts
 from .operators.seeds import extract_seeds, named_files
 from .sources.repos import read_repo
 from .storage import materialise
@@ -74,29 +74,59 @@ def blast_radius(spark: SparkSession, repo: str, issue: str, hops: int = 3, min_
     }
 
 
-def evaluate_instances(instances: DataFrame, files: DataFrame, settings: list[tuple[str, int, float]] | None = None, graph: CodeGraph | None = None) -> DataFrame:
-    """instance_id, repo, mode, k, recall, any_hit: file recall of the graph's ranking and of its seeds alone.
+def _asked(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Issues (issue_id, repo_id, text) and gold files (issue_id, path) of instances; a snapshot is named as its instance."""
+    issue = F.col("instance_id").alias("issue_id")
+    return instances.select(issue, F.col("instance_id").alias("repo_id"), F.col("problem_statement").alias("text")), instances.select(issue, F.explode(gold_files(F.col("patch"))).alias("path"))
+
+
+def evaluate_instances(instances: DataFrame, files: DataFrame, settings: list[tuple[str, int, float]] | None = None, graph: CodeGraph | None = None, embedding: EmbeddingRetriever | None = None) -> DataFrame:
+    """instance_id, repo, mode, k, recall, any_hit: file recall of the graph's ranking under each setting (mode, hops,
+    least confidence), of its seeds alone (mode seeds) and, if a retriever is given, of its chunks (mode embedding).
 
     ``instances``: instance_id, repo, problem_statement, patch. ``files``: repo_id (an instance's snapshot, named as its
     instance_id), path, source. All instances and settings are one set of jobs; each has gold from its patch.
     """
-    issues = instances.select(F.col("instance_id").alias("issue_id"), F.col("instance_id").alias("repo_id"), F.col("problem_statement").alias("text"))
-    gold = instances.select(F.col("instance_id").alias("issue_id"), F.explode(gold_files(F.col("patch"))).alias("path"))
+    issues, gold = _asked(instances)
     graph = graph or build_graph(files)
-    rows: DataFrame | None = None
-    for mode, hops, floor in settings or [("graph", 3, 0.0)]:
-        ranked = GraphRetriever(max_hops=hops, min_confidence=floor, graph=graph).rank(issues, files)
-        order = ranking.first_appearance(ranked, ["issue_id"], "path", "position").select("issue_id", "path", F.col("position").alias("rank"), F.lit(mode).alias("mode"))
-        rows = order if rows is None else rows.unionByName(order)
-    seeds = extract_seeds(issues, graph).join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"]).select("issue_id", "path", F.struct(F.lit(1).alias("kind"), F.col("place").cast("int").alias("at")).alias("at"))
-    said = named_files(issues, graph).select("issue_id", "path", F.struct(F.lit(0).alias("kind"), F.col("named_at").cast("int").alias("at")).alias("at"))
-    control = ranking.first_appearance(seeds.unionByName(said), ["issue_id"], "path", "at").select("issue_id", "path", F.col("position").alias("rank"), F.lit("seeds").alias("mode"))
-    rows = rows.unionByName(control)
-    modes = rows.select("mode").distinct()
-    scored = evaluate.recall_at_k(rows, gold.crossJoin(F.broadcast(modes)), ["issue_id", "mode"], "path")
+    settings = settings or [("graph", 3, 0.0)]
+    spread = GraphRetriever(graph=graph).rank_settings(issues, files, settings).select("issue_id", F.col("config").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("position").alias("at")).alias("at"))
+    seeds = extract_seeds(issues, graph).join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"]).select("issue_id", F.lit("seeds").alias("mode"), "path", F.struct(F.lit(1).alias("kind"), F.col("place").cast("int").alias("at")).alias("at"))
+    said = named_files(issues, graph).select("issue_id", F.lit("seeds").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("named_at").cast("int").alias("at")).alias("at"))
+    rows = spread.unionByName(seeds).unionByName(said)
+    modes = [*(s[0] for s in settings), "seeds"]
+    if embedding is not None:
+        near = embedding.rank(issues, files).select("issue_id", F.lit("embedding").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("position").alias("at")).alias("at"))
+        rows, modes = rows.unionByName(near), [*modes, "embedding"]
+    order = ranking.first_appearance(rows, ["issue_id", "mode"], "path", "at").withColumnRenamed("position", "rank")
+    wanted = gold.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    scored = evaluate.recall_at_k(order, wanted, ["issue_id", "mode"], "path")
     return scored.join(instances.select(F.col("instance_id").alias("issue_id"), "repo"), "issue_id").withColumnRenamed("issue_id", "instance_id")
 
 
+def literal_probe(instances: DataFrame, files: DataFrame, at_most: int = literals.USEFUL_FILES) -> DataFrame:
+    """instance_id, gold, candidates, useful_candidates, gold_reached, all sorted lists: whether the literals of an issue
+    that stand in some of its snapshot's files, but in no more than ``at_most``, lead to the files of its patch."""
+    issues, gold = _asked(instances)
+    said = issues.select("issue_id", F.explode(literal_candidates(F.col("text"))).alias("literal"))
+    python = files.filter(F.endswith("path", F.lit(".py")))
+    place = F.concat_ws("\n", "repo_id", "path")
+    hits = literals.contains(python.select(place.alias("file"), F.col("source").alias("text")), said.select(F.col("literal").alias("literal_id"), "literal").distinct())
+    at = F.split("file", "\n", 2)
+    found = hits.select(at[0].alias("issue_id"), at[1].alias("path"), F.col("literal_id").alias("literal")).join(said, ["issue_id", "literal"])
+    useful = found.groupBy("issue_id", "literal").agg(F.count("*").alias("n")).filter(F.col("n") <= at_most).drop("n")
+    reached = found.join(useful, ["issue_id", "literal"]).join(gold, ["issue_id", "path"])
+
+    def listed(rows: DataFrame, item: str, name: str) -> DataFrame:
+        return rows.groupBy("issue_id").agg(F.sort_array(F.collect_set(item)).alias(name))
+
+    out = issues.select("issue_id")
+    parts = [(gold, "path", "gold"), (said, "literal", "candidates"), (useful, "literal", "useful_candidates"), (reached, "path", "gold_reached")]
+    for rows, item, name in parts:
+        out = out.join(listed(rows, item, name), "issue_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.withColumnRenamed("issue_id", "instance_id")
+
+
 def build_server():
     """A tool server over these functions, where the protocol's library is installed."""
     from mcp.server.fastmcp import FastMCP

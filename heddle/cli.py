@@ -1,4 +1,4 @@
-"""Command line: resolve, blast, graph, modes, score."""
+"""Command line: resolve, blast, attempt, evaluate, probe, graph, modes, score."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import api
-from .operators import render
+from .operators import evaluate, render
 from .operators.resolve import build_graph
-from .operators.retrieve import BUDGET, MODES, K
-from .sources.repos import checked_predictions, issue_text, read_issues, read_report, read_repo, write_json_list
+from .operators.retrieve import BUDGET, MODES, EmbeddingRetriever, K
+from .sources.repos import checked_predictions, issue_text, read_instances, read_issues, read_repo, read_trees, report_or_none, write_evaluation, write_json_list
+from .storage import materialise
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,6 +34,17 @@ def _parser() -> argparse.ArgumentParser:
     blast.add_argument("--hops", type=int, default=3)
     blast.add_argument("--min-confidence", type=float, default=0.0)
     blast.add_argument("--limit", type=int, default=20)
+    attempt = commands.add_parser("attempt", help="context and a placeholder for a patch, with the steps taken")
+    attempt.add_argument("repo")
+    attempt.add_argument("issue")
+    attempt.add_argument("--mode", default="graph", choices=sorted(MODES))
+    attempt.add_argument("--out", help="where the placeholder goes")
+    for name, what in (("evaluate", "recall of the graph, its seeds and the embedding"), ("probe", "whether literals lead to the files of a patch")):
+        over = commands.add_parser(name, help=what)
+        over.add_argument("instances", help="a JSON list of instances")
+        over.add_argument("trees", help="a folder with one tree for each instance, named as it")
+        over.add_argument("--repos", action="append", default=[])
+        over.add_argument("--out")
     graph = commands.add_parser("graph", help="imports of a repository")
     graph.add_argument("repo")
     graph.add_argument("--format", default="summary", choices=("summary", "mermaid", "dot"))
@@ -67,6 +80,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             found = api.blast_radius(spark, args.repo, text, args.hops, args.min_confidence, args.limit)
         _give(json.dumps(found, indent=1, default=str), getattr(args, "out", None))
+    elif args.command == "attempt":
+        text = read_issues(spark, args.issue).select(issue_text().alias("t")).first().t
+        result = api.resolve(spark, args.repo, text, args.mode)
+        print("\n".join(f"{i}. {s.name}: {s.detail}" for i, s in enumerate(result.steps, 1)))
+        _give(result.patch, args.out)
+    elif args.command in ("evaluate", "probe"):
+        instances, files = read_instances(spark, args.instances, args.repos or None), materialise(read_trees(spark, args.trees), "files")
+        if args.command == "probe":
+            found = api.literal_probe(instances, files)
+            _give("\n".join(found.toJSON().toLocalIterator()), args.out)
+            return 0
+        rows = materialise(api.evaluate_instances(instances, files, embedding=EmbeddingRetriever()), "evaluation")
+        summary = evaluate.summarise(rows, ["mode"])
+        print(render.report(summary, repos=rows.groupBy("repo").agg(F.countDistinct("instance_id").alias("instances"))))
+        if args.out:
+            write_evaluation(rows, summary, {"instances": args.instances, "trees": args.trees, "repos": args.repos}, args.out)
     elif args.command == "graph":
         graph = build_graph(read_repo(spark, args.repo))
         try:
@@ -85,7 +114,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             rows = spark.read.schema("instance_id string, model_patch string, model_name_or_path string").json(args.predictions, multiLine=True)
             print(write_json_list(checked_predictions(rows), args.out or "predictions.json"))
         if args.report:
-            print(json.dumps(read_report(spark, args.report).first().asDict()))
+            row = report_or_none(spark, args.report)
+            if row is None:
+                print(f"{args.report} is no report", file=sys.stderr)
+                return 2
+            print(json.dumps(row.asDict()))
     return 0
 
 

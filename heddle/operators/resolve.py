@@ -38,6 +38,12 @@ class CodeGraph:
         tall = wide.select("repo_id", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(0)).alias("n")) for c in names))).alias("s")).select("repo_id", "s.name", "s.n")
         return tall.unionByName(self.refs.groupBy("repo_id", F.col("outcome").alias("name")).agg(F.count("*").alias("n")))
 
+    def first_errors(self, at_most: int = 20) -> DataFrame:
+        """repo_id, path, error: the first parse errors of each repository, by path."""
+        told = self.files.select("repo_id", "path", F.posexplode("errors").alias("at", "error"))
+        order = F.row_number().over(Window.partitionBy("repo_id").orderBy("path", "at"))
+        return told.withColumn("n", order).filter(F.col("n") <= at_most).select("repo_id", "path", "error")
+
     def symbols_in(self, path: str) -> DataFrame:
         return self.nodes.filter(F.col("path") == path)
 

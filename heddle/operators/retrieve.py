@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -34,6 +34,10 @@ class GraphRetriever:
 
     def rank(self, issues: DataFrame, files: DataFrame) -> DataFrame:
         """issue_id, repo_id, node, path, score, distance, reasons and position, the order before files take turns."""
+        return self.rank_settings(issues, files, [("graph", self.max_hops, self.min_confidence)]).drop("config")
+
+    def rank_settings(self, issues: DataFrame, files: DataFrame, settings: list[tuple[str, int, float]]) -> DataFrame:
+        """``rank`` under each setting (config, hops, least confidence), with a column config: one spread for them all."""
         graph = self.graph or build_graph(files)
         self.graph = graph
         seeds = materialise(extract_seeds(issues, graph), "seeds")
@@ -41,16 +45,16 @@ class GraphRetriever:
         edges = graph.edges.select(key("src").alias("src"), key("dst").alias("dst"), "relation", "confidence")
         nodes = graph.nodes.select(key("node").alias("node"), (F.col("qualname") == MODULE_SYMBOL).alias("is_module"))
         given = seeds.select(key("issue_id").alias("issue_id"), key("node").alias("node"), "weight")
-        setting = propagate.configs(issues.sparkSession, [("graph", self.max_hops, self.min_confidence, False)])
-        reached = propagate.ranked(propagate.spread(edges, nodes, given.withColumn("issue_id", F.col("issue_id")), setting))
+        grid = propagate.configs(issues.sparkSession, [(*s, False) for s in settings])
+        reached = propagate.ranked(propagate.spread(edges, nodes, given, grid))
         bare = lambda c: F.regexp_replace(c, r"^[^|]*\|", "")
-        ranked = reached.select(bare("issue_id").alias("issue_id"), F.regexp_extract("issue_id", r"^([^|]*)\|", 1).alias("repo_id"), bare("node").alias("node"), "score", "distance", "reasons", "rank")
+        ranked = reached.select("config", bare("issue_id").alias("issue_id"), F.regexp_extract("issue_id", r"^([^|]*)\|", 1).alias("repo_id"), bare("node").alias("node"), "score", "distance", "reasons", "rank")
         ranked = ranked.join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"])
-        named = named_files(issues, graph)
+        named = named_files(issues, graph).withColumn("config", F.explode(F.array(*(F.lit(s[0]) for s in settings))))
         # a named file that the spread did not reach is there by its module
-        absent = named.join(ranked.select("issue_id", "repo_id", "path").distinct(), ["issue_id", "repo_id", "path"], "left_anti")
-        modules = absent.select("repo_id", F.concat("path", F.lit("::" + MODULE_SYMBOL)).alias("node"), "issue_id", F.lit(0.0).alias("score"), F.lit(-1).alias("distance"), F.array().cast("array<string>").alias("reasons"), (F.lit(1 << 30) + F.col("named_at")).alias("rank"), "path")
-        return ranking.evidence_first(ranked.unionByName(modules), named, ["issue_id", "repo_id"])
+        absent = named.join(ranked.select("config", "issue_id", "repo_id", "path").distinct(), ["config", "issue_id", "repo_id", "path"], "left_anti")
+        modules = absent.select("config", "repo_id", F.concat("path", F.lit("::" + MODULE_SYMBOL)).alias("node"), "issue_id", F.lit(0.0).alias("score"), F.lit(-1).alias("distance"), F.array().cast("array<string>").alias("reasons"), (F.lit(1 << 30) + F.col("named_at")).alias("rank"), "path")
+        return ranking.evidence_first(ranked.unionByName(modules), named, ["config", "issue_id", "repo_id"])
 
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
         ranked = materialise(self.rank(issues, files), "ranked").withColumn("graph_rank", F.col("position")).drop("position")
@@ -76,24 +80,24 @@ class EmbeddingRetriever:
     index: DataFrame | None = None
 
     def build_index(self, files: DataFrame) -> DataFrame:
-        """repo_id, path, start_line, end_line, text, embedding."""
+        """repo_id, path, start_line, end_line, text, embedding, tokens."""
         keyed = files.filter("source IS NOT NULL AND path LIKE '%.py'").select(F.struct("repo_id", "path").alias("at"), "source")
         chunks = ranking.chunk_lines(keyed, self.chunk_lines, key="at", text="source")
-        return materialise(self.encoder(chunks.select("at.repo_id", "at.path", "start_line", "end_line", "text"), "text"), "chunks")
+        coded = self.encoder(chunks.select("at.repo_id", "at.path", "start_line", "end_line", "text"), "text")
+        return materialise(coded.withColumn("tokens", ranking.token_cost(F.col("text"))), "chunks")
 
     def rank(self, issues: DataFrame, files: DataFrame) -> DataFrame:
+        """issue_id, repo_id, path, start_line, end_line, tokens, score and position of every chunk; texts stay in the index."""
         self.index = self.index if self.index is not None else self.build_index(files)
         asked = self.encoder(issues.select("issue_id", "repo_id", "text"), "text").select("issue_id", "repo_id", F.col("embedding").alias("wanted"))
-        near = self.index.join(asked, "repo_id").withColumn("score", propagate.rounded(F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
-        from pyspark.sql import Window
-
+        near = self.index.drop("text").join(asked, "repo_id").withColumn("score", propagate.rounded(F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
         order = Window.partitionBy("issue_id").orderBy(F.desc("score"), "path", "start_line")
         return near.drop("embedding", "wanted").withColumn("position", F.row_number().over(order))
 
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
-        items = materialise(self.rank(issues, files).withColumn("tokens", ranking.token_cost(F.col("text"))), "chunk-ranks")
+        items = materialise(self.rank(issues, files), "chunk-ranks")
         taken = ranking.budget_pack(items, ["issue_id"], "position", "tokens", self.k, budget_tokens)
-        out = taken.drop("tokens").join(items, ["issue_id", "position"])
+        out = taken.drop("tokens").join(items, ["issue_id", "position"]).join(self.index.select("repo_id", "path", "start_line", "text"), ["repo_id", "path", "start_line"])
         why = F.format_string("embedding rank %d, cosine=%.3f", F.col("position"), F.col("score"))
         return out.select("issue_id", F.col("picked_at").alias("position"), "path", "start_line", "end_line", "text", "score", F.lit(None).cast("string").alias("symbol"), why.alias("reason"), "tokens")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from typing import TextIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Folders whose files are no sources of a repository.
@@ -58,6 +61,12 @@ def read_repo(spark: SparkSession, root: str | os.PathLike, repo_id: str = "repo
     return paths.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, FILES)
 
 
+def read_trees(spark: SparkSession, root: str | os.PathLike) -> DataFrame:
+    """FILES of many trees, one in each folder of ``root``, whose name is its repo_id."""
+    at = F.split("path", "/", 2)
+    return read_repo(spark, root).filter(F.contains("path", F.lit("/"))).select(at[0].alias("repo_id"), at[1].alias("path"), "source")
+
+
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     """ISSUES from JSON (id or instance_id, title, body or problem_statement) or from a text whose first line is the title."""
     if str(path).endswith(".json"):
@@ -91,6 +100,15 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return row.withColumn("resolved_rate", F.coalesce(F.try_divide("resolved_instances", "submitted_instances"), F.lit(0.0)))
 
 
+def report_or_none(spark: SparkSession, path: str) -> Row | None:
+    """A harness report's row, or none where there is no file or what it holds is no report."""
+    try:
+        row = read_report(spark, path).first()
+    except AnalysisException:
+        return None
+    return row if row is not None and row.total_instances is not None else None
+
+
 def checked_predictions(predictions: DataFrame) -> DataFrame:
     """Predictions (instance_id, model_patch, model_name_or_path); a reserved model name is an error."""
     name = F.col("model_name_or_path")
@@ -98,14 +116,32 @@ def checked_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.select("instance_id", "model_patch", F.when(taken, F.raise_error(F.concat(F.lit("reserved model name: "), name))).otherwise(name).alias("model_name_or_path"))
 
 
+def _write_list(out: TextIO, df: DataFrame) -> int:
+    n = 0
+    out.write("[")
+    for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        out.write((",\n " if n else "\n ") + row.j)
+        n += 1
+    out.write("\n]")
+    return n
+
+
 def write_json_list(df: DataFrame, path: str | os.PathLike) -> int:
     """Write rows as one JSON list, a row at a time, in folders made as needed; the number of rows."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    n = 0
     with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            out.write((",\n " if n else "\n ") + row.j)
-            n += 1
-        out.write("\n]\n")
+        n = _write_list(out, df)
+        out.write("\n")
+    return n
+
+
+def write_evaluation(rows: DataFrame, summary: DataFrame, config: dict, path: str | os.PathLike) -> int:
+    """Write {summary, config, rows} as one JSON object, a row at a time; the number of rows."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('{"summary": ')
+        _write_list(out, summary)
+        out.write(f',\n"config": {json.dumps(config)},\n"rows": ')
+        n = _write_list(out, rows)
+        out.write("}\n")
     return n

@@ -171,3 +171,11 @@ def test_reindexing_forgets_what_went(spark, tmp_path):
     spark.catalog.clearCache()
     assert count() == {"files": {"s": 1}, "nodes": {"s": 2}, "edges": {"s": 1}}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").upper() == "STATIC"
+
+
+def test_errors_and_symbols_of_a_file(spark):
+    rows = [("r", f"bad{i:02}.py", "def (") for i in range(25)] + [("r", "good.py", "def f():\n    pass\n"), ("s", "bad.py", "x = ")]
+    graph = build_graph(spark.createDataFrame(rows, "repo_id string, path string, source string"))
+    told = graph.first_errors().collect()
+    assert sorted(r.path for r in told if r.repo_id == "r") == [f"bad{i:02}.py" for i in range(20)] and [r.path for r in told if r.repo_id == "s"] == ["bad.py"]
+    assert sorted(r.qualname for r in graph.symbols_in("good.py").collect()) == ["<module>", "f"]

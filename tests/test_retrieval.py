@@ -165,6 +165,51 @@ def test_instances_and_report(spark, files, graph, tmp_path):
     assert "| 1 | 1.000 | 1.000 | +0.000 |" in text and "_No results present._" in text and "| h1 | 0.500 | - |" in text
 
 
+def test_evaluation_of_all_modes(spark, tmp_path, capsys):
+    issue = "Response.json() ignores --max-lines, see --no-such-option"
+    rows = [{"instance_id": i, "repo": "org/name", "base_commit": "c", "problem_statement": t, "patch": p} for i, t, p in (("one", issue, "+++ b/pkg/models.py\n"), ("two", "", "+++ b/quiet.py\n"), ("bare", "--max-lines", ""))]
+    (tmp_path / "i.json").write_text(json.dumps(rows))
+    for name in ("one", "two", "bare"):
+        for p, s in {**FILES, "pkg/models.py": FILES["pkg/models.py"] + 'OPTION = "--max-lines"\n'}.items():
+            (tmp_path / "trees" / name / p).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "trees" / name / p).write_text(s)
+    assert cli.main(["evaluate", str(tmp_path / "i.json"), str(tmp_path / "trees"), "--out", str(tmp_path / "e.json")], spark) == 0
+    shown = capsys.readouterr().out
+    assert "- org/name: 2" in shown and "one is worth 0.500" in shown and "Graph against embedding" in shown
+    kept = json.loads((tmp_path / "e.json").read_text())
+    assert set(kept) == {"summary", "config", "rows"} and len(kept["rows"]) == 2 * 3 * len(evaluate.K_LEVELS)
+    got = {(r["instance_id"], r["mode"], r["k"]): r["recall"] for r in kept["rows"]}
+    assert got["one", "graph", 1] == got["one", "seeds", 1] == got["one", "embedding", 1] == 1.0
+    assert got["two", "graph", 20] == got["two", "seeds", 20] == 0.0 and got["two", "embedding", 20] == 1.0
+    assert cli.main(["probe", str(tmp_path / "i.json"), str(tmp_path / "trees"), "--out", str(tmp_path / "p.json")], spark) == 0
+    probed = {r["instance_id"]: r for r in map(json.loads, (tmp_path / "p.json").read_text().splitlines())}
+    assert probed["one"] == {"instance_id": "one", "gold": ["pkg/models.py"], "candidates": ["max-lines", "no-such-option"], "useful_candidates": ["max-lines"], "gold_reached": ["pkg/models.py"]}
+    assert probed["two"]["candidates"] == [] and probed["bare"]["useful_candidates"] == ["max-lines"] and probed["bare"]["gold_reached"] == []
+
+
+def test_a_literal_in_many_files_is_not_useful(spark):
+    instances = spark.createDataFrame([("r", "x/y", "--common-option", "+++ b/f0.py\n"), ("n", "x/y", None, None)], "instance_id string, repo string, problem_statement string, patch string")
+    for n, useful in ((8, ["common-option"]), (9, [])):
+        tree = spark.createDataFrame([("r", f"f{i}.py", "'--common-option'") for i in range(n)], "repo_id string, path string, source string")
+        found = {r.instance_id: r for r in api.literal_probe(instances, tree).collect()}
+        assert found["r"].useful_candidates == useful and found["r"].gold_reached == (["f0.py"] if useful else []) and found["n"].candidates == []
+
+
+def test_a_file_that_shrank_gives_no_stale_snippet(spark, files, graph):
+    issue = spark.createDataFrame([("i", "r", "Response.json() and load() in pkg/models.py")], "issue_id string, repo_id string, text string")
+    shrunk = files.withColumn("source", F.when(F.col("path") == "pkg/models.py", "class Response:\n").otherwise(F.col("source")))
+    got = retrieve.GraphRetriever(graph=graph).retrieve(issue, shrunk).filter("path = 'pkg/models.py'").collect()
+    assert got and all(r.end_line == 1 and r.text == "class Response:" for r in got)
+
+
+def test_reports_that_are_none(spark, tmp_path):
+    assert repos.report_or_none(spark, f"{tmp_path}/absent.json") is None
+    for name, text in (("broken", "{not json"), ("other", '{"a": 1}'), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert repos.report_or_none(spark, f"{tmp_path}/{name}.json") is None
+    assert cli.main(["score", "--report", f"{tmp_path}/broken.json"], spark) == 2
+
+
 def test_sources_and_sinks(spark, tmp_path):
     tree = tmp_path / "tree"
     for p, s in {**FILES, "build/skip.py": "x", ".venv/a.py": "x", "note.txt": "x", "pkg/stub.pyi": "def s(): ..."}.items():
@@ -189,6 +234,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert cli.main(["resolve", str(tree), str(tmp_path / "issue.json"), "--out", str(tmp_path / "c.json")], spark) == 0
     found = json.loads((tmp_path / "c.json").read_text())
     assert found["files"][0] == "pkg/models.py" and found["mode"] == "graph"
+    assert cli.main(["attempt", str(tree), str(tmp_path / "issue.json"), "--out", str(tmp_path / "p.txt")], spark) == 0
+    assert (tmp_path / "p.txt").read_text() == api.STUB_PATCH
     top = api.blast_radius(spark, str(tree), "Response.json() fails", hops=1, limit=3)
     assert top["ranked"][0]["distance"] == 0 and top["seeds"][0]["weight"] == 1.5 and len(top["ranked"]) <= 3
     assert api.resolve(spark, str(tree), "Response.json() fails").stub
