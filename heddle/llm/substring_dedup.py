@@ -162,8 +162,7 @@ QUERIES = {"op5_substring_dedup": op5_substring_dedup}
 ORACLES = {
     "op5_substring_dedup": r"""
 WITH doc AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS t
   FROM doc, LATERAL (SELECT unnest(range(1, greatest(len(w) - 48, 1))) AS i)

@@ -162,3 +162,19 @@ def test_equal_hashes_of_different_bytes():
     words.hash = np.zeros(5, np.uint64)
     a = substring_dedup.word_numbers(data, words)
     assert a[0] == a[2] and a[1] == a[4] and len(set(a.tolist())) == 3
+
+
+def test_the_substring_query_and_its_sql(spark, tmp_path):
+    """Every kind of white space that parts words, and some that do not, in the query, its SQL and brute force."""
+    duckdb = pytest.importorskip("duckdb")
+    rnd = random.Random(8)
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n", "  "]
+    passage = [f"w{rnd.randrange(40)} x\x1f" for _ in range(70)]
+    joined = lambda words: "".join(w + rnd.choice(spaces) for w in words)
+    rows = [(i, joined([f"p{i}"] * (i % 3) + passage[i % 5 : 60 + i % 7] + [f"q{i}"])) for i in range(12)] + [(20, None), (21, ""), (22, " \r\x0b"), (23, joined(["la"] * 120)), (24, joined(["la"] * 70))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op5_substring_dedup(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {r[0]: tuple(r[1:]) for r in con.execute(substring_dedup.ORACLES["op5_substring_dedup"]).fetchall()}
+    assert got == sql == brute.word_dedup(rows, 50) and sum(w[1] for w in got.values()) > 500
