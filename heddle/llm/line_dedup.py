@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .arrays import bounded_batches, hash_spans, runs, slices, unused
 
 MIN_LENGTH, MIN_DOCS = 20, 3
@@ -180,9 +181,11 @@ def dropped_keys(docs: DataFrame, min_length: int, min_docs: int, bits: int) ->
     found = named.mapInArrow(suspects(shared, bits, min_length), "doc_id long, hash long, key binary").withColumn("digest", F.sha2("key", 256))
     # a digest stands for the key from here on: the text of a key moves once, inside its task, to be hashed whole
     found = found.select("doc_id", "hash", F.unhex(F.substring("digest", 1, 32)).alias("digest"))
-    per_doc = found.groupBy("digest", "doc_id").agg(F.first("hash").alias("hash"))
+    # both sides are tables: then a small one is broadcast, and beyond that Spark can split the task of a very common line
+    per_doc = materialise(found.groupBy("digest", "doc_id").agg(F.first("hash").alias("hash")), "line-keys")
     common = per_doc.groupBy("digest").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
-    lost = per_doc.join(common.select("digest", "keeper"), "digest").filter("doc_id <> keeper")
+    common = materialise(common.select("digest", "keeper"), "common-lines")
+    lost = per_doc.join(common, "digest").filter("doc_id <> keeper")
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "digest")).alias("lost"))
 
 
