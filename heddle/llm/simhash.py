@@ -327,7 +327,8 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, radius: int
     found = star_components(fingerprint_links(least.select("fp"), radius, crowd))
     named = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(smallest, "component").select("fp", "component_id")
+    # a table: small, it is broadcast; else Spark can split the task of a fingerprint that very many documents have
+    of_fp = materialise(named.join(smallest, "component").select("fp", "component_id"), "simhash-names")
     out = marked.join(of_fp, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
