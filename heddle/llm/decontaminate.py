@@ -71,7 +71,8 @@ def _judged(documents: DataFrame, benchmark: DataFrame, window: int, share: int)
     spread = windows.select("win", "len", F.posexplode(F.split("win", " ", -1)).alias("off", "word"))
     wanted = broadcast_if_small(spread.select("word").distinct(), "word")
     said = texts.select(F.explode(F.split("norm", " ", -1)).alias("word"))
-    often = said.join(wanted, "word").groupBy("word").agg(F.count("*").alias("often"))
+    often = materialise(said.join(wanted, "word").groupBy("word").agg(F.count("*").alias("often")), "word-counts")
+    often = broadcast_if_small(often, "word")
     prefix = spread.join(often, "word", "left").groupBy("win", "len").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word", "off")).alias("rarest"))
     # a window with a word that no document has can't occur
     prefix = materialise(prefix.filter("rarest.often > 0").select(F.col("rarest.word").alias("word"), F.col("rarest.off").alias("off"), "win", "len"), "prefixes")
