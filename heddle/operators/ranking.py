@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +50,28 @@ def budget_pack(items: DataFrame, by: list[str], position: str, cost: str, k: in
     """The items of each group that a greedy packer takes, with ``picked_at`` and ``used`` (the tokens so far).
 
     It goes by position, stops at k items or once the budget is used up, and skips an item that would overshoot, but
-    always takes the first. Groups are streamed in order: a task holds one group's two counters, not its rows.
+    always takes the first. Costs are whole and not negative; null counts as 0.
+
+    An item with k earlier ones of its own cost is never taken: where it fits, they fitted too. So the first k of each
+    cost hold the answer, k * (budget + 2) rows of a group at most, whatever its size; only these come together.
     """
-    schema = f"{items.select(*by, position, cost).schema.simpleString()[7:-1].replace(':', ' ')}, picked_at int, used long"
-    names = [*by, position, cost, "picked_at", "used"]
-
-    def fold(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, picked, used = None, 0, 0
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False, name=None):
-                if row[:-2] != current:
-                    current, picked, used = row[:-2], 0, 0
-                if picked >= k or used >= budget or (picked and used + row[-1] > budget):
-                    continue
-                picked, used = picked + 1, used + row[-1]
-                out.append((*row, picked, used))
-            yield pd.DataFrame(out, columns=names)
-
-    return items.select(*by, position, cost).repartition(*by).sortWithinPartitions(*by, position).mapInPandas(fold, schema)
+    kind = {f.name: f.dataType.simpleString() for f in items.schema}
+    picks = f"array<struct<at:{kind[position]},cost:{kind[cost]},picked_at:int,used:bigint>>"
+    rows = items.select(*by, F.col(position).alias("at"), F.coalesce(cost, F.lit(0)).cast(kind[cost]).alias("cost"))
+    # items over the budget are one class: of these, none but the first of all can be taken
+    same = Window.partitionBy(*by, F.least("cost", F.lit(budget + 1))).orderBy("at", "cost")
+    early = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k)
+    lists = early.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "cost"))).alias("items"))
+
+    def take(state: Column, item: Column) -> Column:
+        taken, used = state["taken"], state["used"] + item["cost"]
+        fits = (F.size(taken) < k) & (state["used"] < budget) & ((F.size(taken) == 0) | (used <= budget))
+        more = F.struct(item["at"].alias("at"), item["cost"].alias("cost"), (F.size(taken) + 1).alias("picked_at"), used.cast("long").alias("used"))
+        return F.when(fits, F.struct(F.array_append(taken, more).alias("taken"), used.cast("long").alias("used"))).otherwise(state)
+
+    start = F.struct(F.array().cast(picks).alias("taken"), F.lit(0).cast("long").alias("used"))
+    packed = lists.select(*by, F.explode(F.aggregate("items", start, take, lambda state: state["taken"])).alias("pick"))
+    return packed.select(*by, F.col("pick.at").alias(position), F.col("pick.cost").alias(cost), "pick.picked_at", "pick.used")
 
 
 def chunk_lines(files: DataFrame, lines: int = 40, key: str = "path", text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Seeds, retrievers, packing, evaluation, sources and sinks, the command line and the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +270,17 @@ def test_kept_tables_can_be_deleted(spark):
     kept = storage.materialise(spark.range(5), "some")
     assert kept.count() == 5
     assert storage.cleanup(spark) >= 1 and storage.cleanup(spark) == 0
+
+
+@pytest.mark.parametrize("k, budget", [(1, 5), (4, 10), (12, 40), (3, 0)])
+def test_packing_takes_what_a_loop_takes(spark, k, budget):
+    rnd = random.Random(k)
+    rows = [(g, at, rnd.randrange(rnd.choice([2, 9, 70]))) for g in range(30) for at in range(rnd.randrange(90))]
+    want, state = set(), {}
+    for g, at, cost in rows:
+        n, used = state.get(g, (0, 0))
+        if n < k and used < budget and (not n or used + cost <= budget):
+            state[g] = (n + 1, used + cost)
+            want.add((g, at, cost, *state[g]))
+    got = ranking.budget_pack(spark.createDataFrame(rows, "g int, at int, cost long"), ["g"], "at", "cost", k, budget)
+    assert {tuple(r) for r in got.collect()} == want
