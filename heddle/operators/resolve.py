@@ -11,10 +11,9 @@ from ..functions import python_source
 from ..functions.text import last_part, node_id, resolve_relative
 from ..storage import materialise
 from .graphs import AMBIGUITY_AT_MOST, CONFIDENCE, first_owner_up, last_edge_wins, prefixes
+from .reexports import follow
 
 MODULE_SYMBOL = "<module>"
-#: A chain of re-exports this long is an error, not an answer.
-EXPORT_ROUNDS = 1000
 
 
 @dataclass(frozen=True)
@@ -69,24 +68,16 @@ def _exploded(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def _export_table(symbols: DataFrame, refs: DataFrame, owned: DataFrame) -> DataFrame:
-    """repo_id, module, name, node: what each owned module gives out, re-exports followed until nothing changes.
+    """repo_id, module, name, node: what each owned module gives out, re-exports followed to their end.
 
     An import that resolves comes before a definition of the same name, and a later import before an earlier one.
     """
+    key = F.struct("repo_id", "module", "name").alias("key")
     own = symbols.filter("parent IS NULL").join(owned, ["repo_id", "path"]).groupBy("repo_id", "module", F.col("qualname").alias("name")).agg(F.max("node").alias("node"))
-    own = materialise(own, "exports")
-    taken = refs.filter("name IS NOT NULL").join(owned, ["repo_id", "path"]).select("repo_id", "module", F.coalesce("alias", "name").alias("name"), F.col("target").alias("from_module"), F.col("name").alias("from_name"), "ord")
-    taken = materialise(taken, "re-exports")
-    exports = own
-    for _ in range(EXPORT_ROUNDS):
-        source = exports.select("repo_id", F.col("module").alias("from_module"), F.col("name").alias("from_name"), "node")
-        gained = taken.join(source, ["repo_id", "from_module", "from_name"]).groupBy("repo_id", "module", "name").agg(F.max_by("node", "ord").alias("node"))
-        after = materialise(gained.unionByName(own.join(gained, ["repo_id", "module", "name"], "left_anti")), "exports")
-        same = after.exceptAll(exports).isEmpty() and exports.exceptAll(after).isEmpty()
-        exports = after
-        if same:
-            return exports
-    raise RuntimeError(f"re-exports were still changing after {EXPORT_ROUNDS} rounds")
+    named = refs.filter("name IS NOT NULL").join(owned, ["repo_id", "path"])
+    source = F.struct("repo_id", F.col("target").alias("module"), F.col("name").alias("name")).alias("src")
+    takes = named.select(F.struct("repo_id", "module", F.coalesce("alias", "name").alias("name")).alias("key"), source, F.struct("file_ord", "ord").alias("at"))
+    return follow(own.select(key, "node"), takes).select("key.*", "node")
 
 
 def _bindings(refs: DataFrame, modules: DataFrame, owner: DataFrame, exports: DataFrame) -> DataFrame:

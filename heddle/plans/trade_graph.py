@@ -24,7 +24,8 @@ def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     sure = F.when(F.col("l_discount") > 0.05, 0.5).otherwise(1.0)
-    at = F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")
+    # the order of rows is total: rows of one line number differ in confidence alone
+    at = (F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber")) * 2 + (sure == 1.0).cast("int")
     return lines.join(orders, "l_orderkey").select(named("c", "o_custkey").alias("src"), named("p", "l_partkey").alias("dst"), F.lit("calls").alias("relation"), sure.alias("confidence"), F.col("l_orderkey").alias("line"), at.alias("at"))
 
 
