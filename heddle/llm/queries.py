@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, quality_crf, simhash, substring_dedup, suffix_dedup, token_rollup, topk_search
+from . import bpe, conversation_repair, decontaminate, license_scan, line_dedup, quality_crf, simhash, substring_dedup, suffix_dedup, token_rollup, topk_search
 
-_MODULES = (suffix_dedup, token_rollup, line_dedup, license_scan, substring_dedup, topk_search, simhash, quality_crf, decontaminate, bpe)
+_MODULES = (suffix_dedup, token_rollup, line_dedup, license_scan, substring_dedup, topk_search, simhash, quality_crf, decontaminate, bpe, conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
