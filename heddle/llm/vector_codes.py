@@ -38,7 +38,7 @@ from .arrays import bounded_batches, runs
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Vectors of a chunk, and points below which a ball is not split.
-CHUNK, LEAF = 4096, 24
+CHUNK, LEAF = 4096, 64
 LIMIT = 1 << 15
 #: Distinct labels whose sums are broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 100_000
