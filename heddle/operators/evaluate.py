@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import order_statistics
 from .propagate import rounded
 
 K_LEVELS = (1, 3, 5, 10, 20)
@@ -22,6 +23,18 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, by: list[str], item: str, le
     return joined.select(*by, "k", rounded(F.col("n_hit") / F.col("n_gold")).alias("recall"), (F.col("n_hit") > 0).alias("any_hit"))
 
 
+def recall_of_class(ranked: DataFrame, asked: DataFrame, by: list[str], own: str, theirs: str, levels: tuple[int, ...] = K_LEVELS, rank: str = "rank") -> DataFrame:
+    """by..., asked's columns, k, recall, any_hit where the gold of a group is all other items of its class.
+
+    ``ranked``: by..., rank, ``theirs`` (the class of an item; each item once). ``asked``: by..., ``own``, n_gold. Gold of a
+    class is counted once and never listed, so that its size costs nothing.
+    """
+    grid = asked.withColumn("k", F.explode(F.array(*map(F.lit, levels))))
+    hits = ranked.select(*by, F.col(rank).alias("at"), theirs)
+    found = grid.join(hits, by, "left").groupBy(*asked.columns, "k").agg(F.count_if((F.col(theirs) == F.col(own)) & (F.col("at") <= F.col("k"))).alias("n_hit"))
+    return found.select(*(c for c in asked.columns if c != "n_gold"), "k", rounded(F.col("n_hit") / F.col("n_gold")).alias("recall"), (F.col("n_hit") > 0).alias("any_hit"))
+
+
 def summarise(recalls: DataFrame, by: list[str], digits: int = 4) -> DataFrame:
     """by..., k, instances, mean recall and share of any hit."""
     return recalls.groupBy(*by, "k").agg(F.count("*").alias("instances"), rounded(F.avg("recall"), digits).alias("mean_recall"), rounded(F.avg(F.col("any_hit").cast("int")), digits).alias("any_hit_rate"))
@@ -34,10 +47,11 @@ def rollup_recall(recalls: DataFrame, group: str, digits: int = 4) -> DataFrame:
 
 def index_percentiles(ranks: DataFrame, by: list[str], rank: str) -> DataFrame:
     """by..., n, p25, p50, p75 (the sorted ranks at n//4, n//2 and 3n//4, no interpolation), and how many are within 3, 5 and 10."""
-    order = Window.partitionBy(*by).orderBy(rank)
-    placed = ranks.filter(F.col(rank).isNotNull()).withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    pick = lambda num, den: F.max(F.when(F.col("at") == F.floor(F.col("n") * num / den), F.col(rank)))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), pick(1, 4).alias("p25"), pick(1, 2).alias("p50"), pick(3, 4).alias("p75"), *(F.count_if(F.col(rank) <= k).alias(f"within_{k}") for k in (3, 5, 10)))
+    quarters = order_statistics(ranks, by, rank, {"p25": (1, 4), "p50": (1, 2), "p75": (3, 4)})
+    within = ranks.filter(F.col(rank).isNotNull()).groupBy(*(F.col(c).alias(f"_w_{c}") for c in by), F.lit(0).alias("_w")).agg(*(F.count_if(F.col(rank) <= k).alias(f"within_{k}") for k in (3, 5, 10)))
+    # one row for each group on both sides
+    same = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by]
+    return quarters.withColumn("_one", F.lit(0)).join(within, [F.col("_one") == F.col("_w"), *same]).drop("_one", "_w", *(f"_w_{c}" for c in by))
 
 
 def resolved_rate(report: DataFrame, by: list[str]) -> DataFrame:

@@ -97,9 +97,17 @@ def suffix_match(mentions: DataFrame, known: DataFrame, key: list[str], separato
 def innermost(points: DataFrame, spans: DataFrame, key: list[str], point: str, at: str, order: str) -> DataFrame:
     """Each point with the shortest span of its key that covers it, ties to the first in ``order``; null if none does.
 
-    ``spans``: key..., span_start, span_end, ``order``. An equality join on the key, with the range as a condition.
+    ``spans``: key..., span_start, span_end, ``order``. Places are whole numbers. A span goes into one or two bins of a
+    width that is the next power of two above its length; a point looks into its bin of each width that any span has, so
+    that keys and bins are joined by equality, and a point meets only spans that begin or end within their own length of it.
     """
-    hits = points.join(spans, key).filter((F.col(at) >= F.col("span_start")) & (F.col(at) <= F.col("span_end")))
+    size = F.col("span_end") - F.col("span_start")
+    # the number of binary digits: 2**level is more than the length
+    spans = spans.filter(size >= 0).withColumn("level", F.length(F.bin(size)))
+    spans = spans.withColumn("bin", F.explode(F.array_distinct(F.array(F.expr("shiftright(span_start, level)"), F.expr("shiftright(span_end, level)")))))
+    levels = sorted(r.level for r in spans.select("level").distinct().collect())  # 64 at most
+    asked = points.filter(F.col(at).isNotNull()).select(*key, point, F.col(at).cast("long").alias("at"), F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level")).withColumn("bin", F.expr("shiftright(at, level)"))
+    hits = asked.join(spans.select(*key, "level", "bin", "span_start", "span_end", order), [*key, "level", "bin"]).filter("at >= span_start AND at <= span_end")
     best = hits.groupBy(*key, point).agg(F.min_by(F.col(order), F.struct(F.col("span_end") - F.col("span_start"), F.col(order))).alias("inside"))
     return points.join(best, [*key, point], "left")
 

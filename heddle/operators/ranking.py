@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from .order import placed
+from .propagate import few
+
 
 def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group in the given order, with ``rank``."""
@@ -24,22 +28,34 @@ def first_appearance(df: DataFrame, by: list[str], item: str, rank: str) -> Data
     return first.withColumn("position", place)
 
 
+def _leads(ranked: DataFrame, by: list[str], path: str, rank: str) -> DataFrame:
+    """The best rank of each path, as columns of other names."""
+    best = ranked.groupBy(*by, path).agg(F.min(rank).alias("_best"))
+    return best.select(*(F.col(c).alias(f"_l_{c}") for c in (*by, path)), "_best")
+
+
+def _with_lead(ranked: DataFrame, by: list[str], path: str, rank: str) -> DataFrame:
+    """ranked with ``_lead``: whether a row is the best of its path. Ranks of a group are different."""
+    same = [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in (*by, path)]
+    rows = ranked.join(few(materialise(_leads(ranked, by, path, rank), "leads")), same)
+    return rows.withColumn("_lead", F.col(rank) == F.col("_best")).drop("_best", *(f"_l_{c}" for c in (*by, path)))
+
+
 def evidence_first(ranked: DataFrame, named: DataFrame, by: list[str], path: str = "path", rank: str = "rank") -> DataFrame:
     """Ranked rows with ``position``: first, in the order named, the best row of each named path; then the rest by rank.
 
-    ``named``: by..., path, named_at.
+    ``named``: by..., path, named_at. Groups may have any size: see ``order.placed``.
     """
-    best = Window.partitionBy(*by, path).orderBy(rank)
-    rows = ranked.join(named, [*by, path], "left").withColumn("lead", (F.row_number().over(best) == 1) & F.col("named_at").isNotNull())
-    order = Window.partitionBy(*by).orderBy(F.when(F.col("lead"), 0).otherwise(1), F.when(F.col("lead"), F.col("named_at")), rank)
-    return rows.withColumn("position", F.row_number().over(order)).drop("lead", "named_at")
+    rows = _with_lead(ranked, by, path, rank).join(named, [*by, path], "left")
+    lead = F.col("_lead") & F.col("named_at").isNotNull()
+    turn = [F.when(lead, 0).otherwise(1), F.when(lead, F.col("named_at")), F.col(rank)]
+    return placed(rows, by, turn).drop("_lead", "named_at")
 
 
 def file_diversity(ranked: DataFrame, by: list[str], path: str = "path", rank: str = "rank") -> DataFrame:
     """Ranked rows with ``position``: the first of each path in rank order, then what is left in rank order."""
-    turn = F.row_number().over(Window.partitionBy(*by, path).orderBy(rank))
-    order = Window.partitionBy(*by).orderBy((F.col("turn") > 1).cast("int"), rank)
-    return ranked.withColumn("turn", turn).withColumn("position", F.row_number().over(order)).drop("turn")
+    rows = _with_lead(ranked, by, path, rank)
+    return placed(rows, by, [F.when(F.col("_lead"), 0).otherwise(1), F.col(rank)]).drop("_lead")
 
 
 def token_cost(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_offers, kept_identifiers
-from ..operators import evaluate, graphs, literals, ranking, vectors
+from ..operators import evaluate, graphs, literals, order, ranking, vectors
 from ..streaming.windows import hourly
 from .trade_graph import table
 
@@ -19,10 +19,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ranked candidates: a source is a question, a language a file, longer texts rank first."""
-    from pyspark.sql import Window
-
     docs = _documents(spark, sf_dir).select("source", "doc_id", F.col("lang").alias("path"), F.char_length("text").cast("long").alias("n"))
-    return docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")))
+    return order.placed(docs, ["source"], [F.desc("n"), F.col("doc_id")], "rank")
 
 
 def evidence_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +81,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of a vector's nearest against all others of its label."""
+    """Recall of a vector's nearest against all others of its label: gold sets are counted, not listed."""
     label = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = label.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    gold = asked.join(label, "label").filter("vec_id <> query_id").select("query_id", "vec_id")
-    return evaluate.recall_at_k(_neighbours(spark, sf_dir).select("query_id", "vec_id", "rank"), gold, ["query_id"], "vec_id").join(asked, "query_id")
+    sizes = label.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    asked = label.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(sizes, "label").filter("n_gold > 0")
+    near = _neighbours(spark, sf_dir).select("query_id", "vec_id", "rank").join(label.withColumnRenamed("label", "theirs"), "vec_id")
+    return evaluate.recall_of_class(near, asked, ["query_id"], "label", "theirs")
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
