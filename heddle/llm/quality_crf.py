@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .arrays import Words, bounded_batches, mix, slices
+from .arrays import Words, bounded_batches, mix, runs, slices
 
 #: Labelled documents that a fit reads at most, and lines of all of them together.
 SAMPLE, LINES = 4000, 300_000
 ROUNDS = 150
+#: Lines whose features are made at once, and lines of a document that are walked one after another.
+PIECE, SEGMENT = 1 << 15, 256
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_lines long, bad_share double"
 
 
@@ -51,15 +53,18 @@ _HIGH = np.arange(256) >= 0x80
 FEATURES = ("length", "capitals", "digits", "stops", "symbols", "others", "words", "word_length", "symbol_ends", "capital_words", "repeats", "empty", "starts_capital", "ends_stop")
 
 
-def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line, its length in bytes, and the offsets of documents in lines."""
-    docs = len(offs) - 1
+def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of every line, and the offsets of documents in lines."""
     breaks = np.flatnonzero(data == 0x0A)
-    of = np.searchsorted(offs, breaks, side="right") - 1
-    lines = np.bincount(of, minlength=docs) + 1
-    line_offs = np.concatenate([[0], np.cumsum(lines)])
+    lines = np.bincount(np.searchsorted(offs, breaks, side="right") - 1, minlength=len(offs) - 1) + 1
     start = np.sort(np.concatenate([offs[:-1], breaks + 1]), kind="stable")
     end = np.sort(np.concatenate([offs[1:], breaks]), kind="stable")
+    return start, end, np.concatenate([[0], np.cumsum(lines)])
+
+
+def _features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Features of lines that follow one another in ``data``."""
+    data, start, end = data[start[0] : end[-1]], start - start[0], end - start[0]
     size = end - start
 
     def count(table: np.ndarray) -> np.ndarray:
@@ -67,8 +72,8 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         return sums[end] - sums[start]
 
     capital, small, digit, stop, symbol, blank, high = (count(t) for t in (_CAPITAL, _SMALL, _DIGIT, _STOP, _SYMBOL, _BLANK, _HIGH))
-    words = Words(data, offs)
-    at = np.searchsorted(start, words.start, side="right") - 1
+    words = Words(data, np.append(start, len(data)))
+    at = words.doc
     n_words = np.bincount(at, minlength=len(start))
     last, head = data[words.end - 1], data[words.start]
     ends = np.bincount(at[_SYMBOL[last]], minlength=len(start))
@@ -88,7 +93,23 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     final[body] = _STOP[data[end[body] - 1]]
     other = np.maximum(size - blank - capital - small - digit - stop - symbol - high, 0)
     columns = [np.log1p(size), capital / np.maximum(capital + small, 1), digit / solid, stop / solid, symbol / solid, other / solid, np.log1p(n_words), np.log1p((size - blank) / w), ends / w, caps / w, 1 - distinct / w, ~body, first, final]
-    return np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1), size, line_offs
+    return np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1)
+
+
+def feature_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, features) for runs of ``PIECE`` lines at most, so that temporary arrays are bounded."""
+    for a in range(0, len(start), PIECE):
+        b = min(a + PIECE, len(start))
+        yield a, b, _features(data, start[a:b], end[a:b])
+
+
+def line_features(data: np.ndarray, offs: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line, its length in bytes, and the offsets of documents in lines."""
+    start, end, line_offs = line_spans(data, offs)
+    x = np.empty((len(start), len(FEATURES)), dtype=kind)
+    for a, b, piece in feature_pieces(data, start, end):
+        x[a:b] = piece
+    return x, end - start, line_offs
 
 
 def with_neighbours(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -100,32 +121,69 @@ def with_neighbours(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after, np.ones((len(x), 1))], axis=1)
 
 
+def _segments(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents cut into runs of ``SEGMENT`` lines at most: first line and size of each, and documents' offsets in them."""
+    count = -(-np.diff(offs) // SEGMENT)
+    start = np.repeat(offs[:-1], count) + runs(count) * SEGMENT
+    return start, np.minimum(start + SEGMENT, np.repeat(offs[1:], count)) - start, np.concatenate([[0], np.cumsum(count)])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / v.sum(axis=-1, keepdims=True)
+
+
 def marginals(score: np.ndarray, transition: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's probability of being good, and the expected number of each transition. score: good less bad."""
-    size = np.diff(offs)
-    order = np.argsort(-size, kind="stable")
-    start, size = offs[:-1][order], size[order]
+    """Each line's probability of being good, and the expected number of each transition. score: good less bad.
+
+    Documents are cut into segments, all of which are walked at once, a line of each in a step. A segment's effect on
+    what comes in is a product of 2 x 2 matrices; with these the segments of a document are walked, and with what then
+    comes into each segment its lines. The number of steps is bounded by ``SEGMENT`` and the segments of a document.
+    """
     n = len(score)
     emit = np.empty((n, 2))
     emit[:, 1] = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     emit[:, 0] = 1 - emit[:, 1]
     emit = np.maximum(emit, 1e-13)
     move = np.exp(transition - transition.max())
+    start, size, of_docs = _segments(offs)
+    order = np.argsort(-size, kind="stable")
+    lines, sizes = start[order], size[order]
+    longest = int(sizes[0]) if len(sizes) else 0
+    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # segments with more than t lines
+    heads = np.zeros(n, dtype=bool)
+    heads[offs[:-1][np.diff(offs) > 0]] = True
+    # a step into a line; nothing comes into a document's first one
+    into = np.where(heads[:, None, None], np.full((2, 2), 0.5), move)
+    through = np.tile(np.eye(2), (len(start), 1, 1))
+    for t in range(longest):
+        at = lines[: live[t]] + t
+        m = through[order[: live[t]]] @ (into[at] * emit[at][:, None, :])
+        through[order[: live[t]]] = m / m.sum(axis=(1, 2), keepdims=True)
+    entering, leaving = np.full((len(start), 2), 0.5), np.full((len(start), 2), 0.5)
+    many = np.diff(of_docs)
+    by = np.argsort(-many, kind="stable")
+    docs, deep = of_docs[:-1][by], int(many.max()) if len(many) else 0
+    open_ = np.searchsorted(-many[by], -np.arange(deep), side="left")
+    for k in range(1, deep):
+        here = docs[: open_[k]] + k
+        entering[here] = _unit(np.einsum("si,sij->sj", entering[here - 1], through[here - 1]))
+    for k in range(deep - 2, -1, -1):
+        here = docs[: open_[k + 1]] + k
+        leaving[here] = _unit(np.einsum("sij,sj->si", through[here + 1], leaving[here + 1]))
     forward, backward = np.empty((n, 2)), np.ones((n, 2))
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # documents with more than t lines
     for t in range(longest):
-        here = start[: live[t]] + t
-        a = emit[here] if t == 0 else (forward[here - 1] @ move) * emit[here]
-        forward[here] = a / a.sum(axis=1, keepdims=True)
-    pairs = np.zeros((2, 2))
-    for t in range(longest - 2, -1, -1):
-        here = start[: live[t + 1]] + t
-        ahead = emit[here + 1] * backward[here + 1]
-        b = ahead @ move.T
-        backward[here] = b / b.sum(axis=1, keepdims=True)
-        joint = forward[here][:, :, None] * move[None] * ahead[:, None, :]
-        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        at = lines[: live[t]] + t
+        before = entering[order[: live[t]]] if t == 0 else forward[at - 1]
+        forward[at] = _unit(np.einsum("si,sij->sj", before, into[at]) * emit[at])
+    for t in range(longest - 1, -1, -1):
+        at = lines[: live[t]] + t
+        last = sizes[: live[t]] == t + 1
+        ahead = np.minimum(at + 1, n - 1)
+        back = _unit(np.einsum("sij,sj->si", into[ahead], emit[ahead] * backward[ahead]))
+        backward[at] = np.where(last[:, None], leaving[order[: live[t]]], back)
+    after = np.flatnonzero(~heads)
+    joint = forward[after - 1][:, :, None] * move[None] * (emit[after] * backward[after])[:, None, :]
+    pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(after) else np.zeros((2, 2))
     p = forward * backward
     return p[:, 1] / p.sum(axis=1), pairs
 
@@ -153,14 +211,25 @@ class LineField:
     constant: float | None = None
 
     def lines(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, size, line_offs = line_features(data, offs)
-        score = with_neighbours((x - self.centre) / self.scale, line_offs) @ self.weights
-        return marginals(score, self.transition, line_offs)[0], size, line_offs
+        start, end, line_offs = line_spans(data, offs)
+        k = len(FEATURES)
+        parts = np.stack([self.weights[i * k : (i + 1) * k] for i in range(3)], axis=1)
+        # what a line gives to its own score, to that of the line after it, and to that of the line before it
+        own = np.empty((len(start), 3))
+        for a, b, x in feature_pieces(data, start, end):
+            own[a:b] = ((x - self.centre) / self.scale) @ parts
+        score = own[:, 0] + self.weights[-1]
+        inner = np.ones(len(start), dtype=bool)
+        inner[line_offs[:-1]] = False
+        second = np.flatnonzero(inner)
+        score[second] += own[second - 1, 1]
+        score[second - 1] += own[second, 2]
+        return marginals(score, self.transition, line_offs)[0], end - start, line_offs
 
     def documents(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score, number of lines and length-weighted share of bad lines."""
         if self.constant is not None:
-            _, _, line_offs = line_features(data, offs)
+            line_offs = line_spans(data, offs)[2]
             n = len(offs) - 1
             return np.full(n, self.constant), np.diff(line_offs), np.full(n, 1 - self.constant)
         p, size, line_offs = self.lines(data, offs)
@@ -234,8 +303,8 @@ def held_out(doc_id):
 def feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow: (doc_id, text, quality) to the features and lengths of each document's lines, and their number."""
     for rows, data, offs in slices(batches):
-        x, size, at = line_features(data, offs)
-        packed = [x[a:b].astype(np.float32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        x, size, at = line_features(data, offs, np.float32)
+        packed = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         sizes = [size[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary()), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "quality", "features", "sizes", "n_lines"])
 

@@ -378,3 +378,41 @@ def test_a_score_beyond_long_is_an_error(spark):
     with pytest.raises(Exception, match="(?i)overflow|too (big|large)|convert"):
         topk_search.top_k(df, F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in topk_search.top_k(df, F.col("vec_id") == 2, k=1).collect()] != []
+
+
+def test_marginals_do_not_depend_on_segments(monkeypatch):
+    pick = np.random.default_rng(4)
+    sizes = [1, 2, 3, 0, 7, 40, 1, 129]
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    score, move = pick.normal(size=offs[-1]) * 3, pick.normal(size=(2, 2))
+    whole, pairs = quality_crf.marginals(score, move, offs)
+    for segment in (1, 2, 5, 64):
+        monkeypatch.setattr(quality_crf, "SEGMENT", segment)
+        p, q = quality_crf.marginals(score, move, offs)
+        assert np.allclose(p, whole) and np.allclose(q, pairs)
+
+
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    texts = ["One line.\n\ntwo  Two two\n#x# $", "", "\n", "a\n\n\nbc d.\n", "é É 12\r\nlast"] * 3
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    x, size, lines = quality_crf.line_features(data, offs)
+    assert size.tolist() == [len(line) for r in raw for line in r.split(b"\n")] and np.diff(lines).tolist() == [r.count(b"\n") + 1 for r in raw]
+    monkeypatch.setattr(quality_crf, "PIECE", 2)
+    assert np.array_equal(quality_crf.line_features(data, offs)[0], x)
+
+
+def test_a_text_of_a_million_lines(spark):
+    import time
+
+    rows = [(i, ("A good line of words.\n" * 3 if i % 2 else "### $$ 1 1 1\n" * 3), "en", "s", 1) for i in range(40)] + [(1000, "\n" * 1_000_000, "en", "s", 1), (1001, "Fine words here.\n" * 60_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_crf.train(docs, labels)
+    data = np.full(1_000_000, 0x0A, np.uint8)
+    began = time.time()
+    score, lines, _ = model.documents(data, np.array([0, len(data)]))
+    assert lines[0] == 1_000_001 and 0 <= score[0] <= 1 and time.time() - began < 10
+    got = {r.doc_id: r for r in quality_crf.quality_scores(docs, labels).collect()}
+    assert got[1000].n_lines == 1_000_001 and got[1001].predicted == 1 and len(got) == 42
+    assert {r.doc_id for r in quality_crf.keep_good(docs, labels).select("doc_id").collect()} == {i for i, r in got.items() if r.predicted}
