@@ -123,14 +123,35 @@ def resolve_dotted(names: DataFrame, bindings: DataFrame, exports: DataFrame, ow
     return rows.select("repo_id", "path", "name", node.alias("node"), F.coalesce(F.col("kind") == "external", F.lit(False)).alias("is_external"))
 
 
-def build_graph(files: DataFrame, analysers: dict | None = None, max_ambiguity: int = AMBIGUITY_AT_MOST) -> CodeGraph:
-    """The graph of files (repo_id, path, source): definitions, containment, imports, inheritance, calls."""
+@dataclass(frozen=True)
+class Names:
+    """What names stand for in whole repositories. modules: repo_id, path, module, is_package. claims: repo_id, module, n,
+    owner. symbols: every definition. nodes: as in a graph. shorts: repo_id, short, candidates, nodes. imports: import
+    references with their target. exports: repo_id, module, name, node."""
+
+    modules: DataFrame
+    claims: DataFrame
+    symbols: DataFrame
+    nodes: DataFrame
+    shorts: DataFrame
+    imports: DataFrame
+    exports: DataFrame
+
+    @property
+    def owner(self) -> DataFrame:
+        return self.claims.filter("n = 1").select("repo_id", "module", "owner")
+
+
+def parse(files: DataFrame, analysers: dict | None = None) -> DataFrame:
+    """Analysed files (repo_id, path, source), and the order of files in which later edges win."""
     parsed = files.select("repo_id", "path", "source").mapInPandas(python_source.analyse_files(analysers), python_source.ANALYSIS)
-    parsed = materialise(parsed.withColumn("file_ord", F.split("path", "/", -1)), "parsed")
+    return parsed.withColumn("file_ord", F.split("path", "/", -1))
+
+
+def known_names(parsed: DataFrame, max_ambiguity: int = AMBIGUITY_AT_MOST) -> Names:
     modules = materialise(module_names(parsed.select("repo_id", "path")), "modules")
     claims = modules.groupBy("repo_id", "module").agg(F.count("*").alias("n"), F.min("path").alias("owner"))
-    owner = claims.filter("n = 1").select("repo_id", "module", "owner")
-    owned = owner.select("repo_id", "module", F.col("owner").alias("path"))
+    owned = claims.filter("n = 1").select("repo_id", "module", F.col("owner").alias("path"))
 
     symbols = _exploded(parsed, "symbols").withColumn("node", node_id(F.col("path"), F.col("qualname")))
     named = modules.select("repo_id", "path", "module")
@@ -143,32 +164,55 @@ def build_graph(files: DataFrame, analysers: dict | None = None, max_ambiguity:
     shorts = symbols.withColumn("short", last_part(F.col("qualname"))).groupBy("repo_id", "short").agg(F.count("*").alias("candidates"))
     listed = symbols.withColumn("short", last_part(F.col("qualname"))).select("repo_id", "short", "node").distinct().join(shorts.filter(F.col("candidates") <= max_ambiguity), ["repo_id", "short"])
     shorts = materialise(listed.groupBy("repo_id", "short", "candidates").agg(F.sort_array(F.collect_list("node")).alias("nodes")).unionByName(shorts.filter(F.col("candidates") > max_ambiguity).withColumn("nodes", F.array().cast("array<string>"))), "shorts")
+    imports = materialise(_targets(parsed, modules), "imports")
+    return Names(modules, claims, symbols, nodes, shorts, imports, _export_table(symbols, imports, owned))
+
 
+#: Edges as files give them; ``path`` is the file that an edge's source stands in.
+EDGE = ["repo_id", "path", "src", "dst", "relation", "confidence", "via", "line"]
+
+
+def resolve_references(parsed: DataFrame, names: Names, max_ambiguity: int = AMBIGUITY_AT_MOST, more_bases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (EDGE), bases (repo_id, path, src, dst, ord) and outcomes (repo_id, path, outcome) of some files' references.
+
+    ``more_bases``: bases of classes in other files, for walks up a hierarchy that begins here.
+    """
     none = F.lit(None)
     plain = lambda relation: [F.lit(relation).alias("relation"), none.cast("double").alias("confidence"), none.cast("string").alias("via")]
-    contains = symbols.select("repo_id", node_id(F.col("path"), F.coalesce("parent", F.lit(MODULE_SYMBOL))).alias("src"), F.col("node").alias("dst"), *plain("contains"), F.col("start_line").alias("line"), "file_ord", "ord")
+    here = parsed.select("repo_id", "path")
+    symbols = _exploded(parsed, "symbols").withColumn("node", node_id(F.col("path"), F.col("qualname")))
+    contains = symbols.select("repo_id", "path", node_id(F.col("path"), F.coalesce("parent", F.lit(MODULE_SYMBOL))).alias("src"), F.col("node").alias("dst"), *plain("contains"), F.col("start_line").alias("line"), "file_ord", "ord")
 
-    imports = materialise(_targets(parsed, modules), "imports")
-    exports = _export_table(symbols, imports, owned)
-    bindings = materialise(_bindings(imports, claims, owner, exports), "bindings")
-    reached = imports.join(owner.select("repo_id", F.col("module").alias("target"), "owner"), ["repo_id", "target"], "left")
-    import_edges = reached.filter("owner IS NOT NULL").select("repo_id", node_id(F.col("path"), F.lit(MODULE_SYMBOL)).alias("src"), node_id(F.col("owner"), F.lit(MODULE_SYMBOL)).alias("dst"), *plain("imports"), "line", "file_ord", "ord")
-    import_refs = reached.select("repo_id", F.when(F.col("owner").isNull(), "import_external").otherwise("import_edges").alias("outcome"))
+    imports = names.imports.join(here, ["repo_id", "path"], "left_semi")
+    bindings = materialise(_bindings(imports, names.claims, names.owner, names.exports), "bindings")
+    reached = imports.join(names.owner.select("repo_id", F.col("module").alias("target"), "owner"), ["repo_id", "target"], "left")
+    import_edges = reached.filter("owner IS NOT NULL").select("repo_id", "path", node_id(F.col("path"), F.lit(MODULE_SYMBOL)).alias("src"), node_id(F.col("owner"), F.lit(MODULE_SYMBOL)).alias("dst"), *plain("imports"), "line", "file_ord", "ord")
+    import_refs = reached.select("repo_id", "path", F.when(F.col("owner").isNull(), "import_external").otherwise("import_edges").alias("outcome"))
 
     bases = _exploded(parsed, "bases").withColumnRenamed("base", "name")
     calls = _exploded(parsed, "calls").withColumnRenamed("callee", "name")
-    dotted = materialise(resolve_dotted(bases.select("repo_id", "path", "name").unionByName(calls.select("repo_id", "path", "name")), bindings, exports, owner, symbols, shorts), "dotted")
+    dotted = materialise(resolve_dotted(bases.select("repo_id", "path", "name").unionByName(calls.select("repo_id", "path", "name")), bindings, names.exports, names.owner, names.symbols, names.shorts), "dotted")
 
     inherited = bases.join(dotted, ["repo_id", "path", "name"]).withColumn("src", node_id(F.col("path"), F.col("cls")))
     good = F.col("node").isNotNull() & (F.col("node") != F.col("src"))
-    inherits = inherited.filter(good).select("repo_id", "src", F.col("node").alias("dst"), *plain("inherits"), "line", "file_ord", "ord")
-    inherit_refs = inherited.select("repo_id", F.when(good, "inherit_edges").when(F.col("is_external"), "inherit_external").otherwise("inherit_unresolved").alias("outcome"))
+    inherits = inherited.filter(good).select("repo_id", "path", "src", F.col("node").alias("dst"), *plain("inherits"), "line", "file_ord", "ord")
+    inherit_refs = inherited.select("repo_id", "path", F.when(good, "inherit_edges").when(F.col("is_external"), "inherit_external").otherwise("inherit_unresolved").alias("outcome"))
 
-    call_edges, call_refs = _calls(calls, dotted, nodes, inherits, shorts, max_ambiguity)
+    up = inherits.select("repo_id", "path", "src", "dst", "ord")
+    call_edges, call_refs = _calls(calls, dotted, names.nodes, up if more_bases is None else up.unionByName(more_bases), names.shorts, max_ambiguity)
     every = contains.unionByName(import_edges).unionByName(inherits).unionByName(call_edges)
-    keyed = every.withColumn("src", F.struct("repo_id", "src"))
-    edges = last_edge_wins(keyed, ["file_ord", "ord"], ["confidence", "via", "line"]).select("src.repo_id", F.col("src.src").alias("src"), "dst", "relation", "confidence", "via", "line")
-    return CodeGraph(nodes, materialise(edges, "edges"), parsed.join(modules, ["repo_id", "path"]).select("repo_id", "path", "module", "n_lines", "errors"), import_refs.unionByName(inherit_refs).unionByName(call_refs))
+    keyed = every.withColumn("src", F.struct("repo_id", "path", "src"))
+    edges = last_edge_wins(keyed, ["file_ord", "ord"], ["confidence", "via", "line"]).select("src.repo_id", "src.path", F.col("src.src").alias("src"), "dst", "relation", "confidence", "via", "line")
+    return edges, up, import_refs.unionByName(inherit_refs).unionByName(call_refs)
+
+
+def build_graph(files: DataFrame, analysers: dict | None = None, max_ambiguity: int = AMBIGUITY_AT_MOST) -> CodeGraph:
+    """The graph of files (repo_id, path, source): definitions, containment, imports, inheritance, calls."""
+    parsed = materialise(parse(files, analysers), "parsed")
+    names = known_names(parsed, max_ambiguity)
+    edges, _, refs = resolve_references(parsed, names, max_ambiguity)
+    told = parsed.join(names.modules, ["repo_id", "path"]).select("repo_id", "path", "module", "n_lines", "errors")
+    return CodeGraph(names.nodes, materialise(edges.drop("path"), "edges"), told, refs)
 
 
 def _targets(parsed: DataFrame, modules: DataFrame) -> DataFrame:
@@ -185,7 +229,7 @@ def _calls(calls: DataFrame, dotted: DataFrame, nodes: DataFrame, inherits: Data
     holder = F.when(F.startswith("name", F.lit("self.")) & (F.col("caller_kind") == python_source.METHOD), F.concat_ws("|", "repo_id", F.regexp_replace("src", r"\.[^.]*$", "")))
     rows = materialise(rows.withColumn("holder", holder), "calls")
     key = lambda c: F.concat_ws("|", "repo_id", c)
-    order = F.row_number().over(Window.partitionBy("repo_id", "src").orderBy("file_ord", "ord"))
+    order = F.row_number().over(Window.partitionBy("repo_id", "src").orderBy("ord"))
     up = inherits.withColumn("n", order).select(key("src").alias("cls"), key("dst").alias("base"), F.col("n").alias("ord"))
     methods = nodes.filter(F.col("kind") == python_source.METHOD).select(F.concat_ws("|", "repo_id", F.regexp_replace("node", r"\.[^.]*$", "")).alias("cls"), last_part(F.col("qualname")).alias("member")).distinct()
     asks = rows.filter("holder IS NOT NULL").select(F.col("holder").alias("cls"), F.col("short").alias("member")).distinct()
@@ -198,5 +242,5 @@ def _calls(calls: DataFrame, dotted: DataFrame, nodes: DataFrame, inherits: Data
     sure: Column = F.lit(None).cast("double")
     for name, value in CONFIDENCE.items():
         sure = F.when(F.col("via") == name, value).otherwise(sure)
-    edges = rows.select("repo_id", "src", F.explode(targets).alias("dst"), F.lit("calls").alias("relation"), sure.alias("confidence"), "via", "line", "file_ord", "ord").filter("src <> dst")
-    return edges, rows.select("repo_id", F.concat(F.lit("call_"), "via").alias("outcome"))
+    edges = rows.select("repo_id", "path", "src", F.explode(targets).alias("dst"), F.lit("calls").alias("relation"), sure.alias("confidence"), "via", "line", "file_ord", "ord").filter("src <> dst")
+    return edges, rows.select("repo_id", "path", F.concat(F.lit("call_"), "via").alias("outcome"))
