@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.text import gold_files, literal_candidates
 from .operators import evaluate, literals, propagate, ranking
 from .operators.resolve import MODULE_SYMBOL, CodeGraph, build_graph
-from .operators.retrieve import BUDGET, K, EmbeddingRetriever, GraphRetriever, build_retriever, contexts
+from .operators.retrieve import BUDGET, K, EmbeddingRetriever, GraphRetriever, build_retriever, contexts, place_of
 from .operators.seeds import extract_seeds, named_files
 from .sources.repos import read_repo
 from .storage import materialise
@@ -47,9 +47,11 @@ def resolve_issue(spark: SparkSession, repo: str, issue: str, mode: str = "graph
     retriever = build_retriever(mode, k=k)
     files = materialise(read_repo(spark, repo), "files")
     found = contexts(retriever.retrieve(one_issue(spark, issue), files, budget_tokens=budget_tokens)).first()
+    table = getattr(retriever, "statistics", None)
+    stats = {} if table is None else table.drop("issue_id", "repo_id").first().asDict() | {"build_seconds": round(retriever.graph.seconds, 3)}
     if found is None:
-        return {"mode": mode, "files": [], "token_estimate": 0, "snippets": []}
-    return {"mode": mode, "files": list(found.files), "token_estimate": found.token_estimate, "snippets": [s.asDict() for s in found.snippets]}
+        return {"mode": mode, "files": [], "token_estimate": 0, "snippets": [], "stats": stats}
+    return {"mode": mode, "files": list(found.files), "token_estimate": found.token_estimate, "snippets": [s.asDict() for s in found.snippets], "stats": stats}
 
 
 def resolve(spark: SparkSession, repo: str, issue: str, mode: str = "graph", k: int = K, budget_tokens: int = BUDGET) -> Result:
@@ -63,7 +65,7 @@ def blast_radius(spark: SparkSession, repo: str, issue: str, hops: int = 3, min_
     """Seeds, ranked nodes with reasons, and counts; no snippets."""
     graph = build_graph(read_repo(spark, repo))
     seeds = materialise(extract_seeds(one_issue(spark, issue), graph), "seeds")
-    reached = propagate.spread(graph.edges, graph.nodes.select("node", (F.col("qualname") == MODULE_SYMBOL).alias("is_module")), seeds.select("issue_id", "node", "weight"), propagate.configs(spark, [("query", hops, min_confidence, False)]))
+    reached = propagate.spread(graph.edges, graph.nodes.select("node", (F.col("qualname") == MODULE_SYMBOL).alias("is_module")), seeds.select("issue_id", "node", "weight"), propagate.configs(spark, [("query", hops, min_confidence, False)]), label=place_of)
     where = graph.nodes.select("node", "path", "qualname")
     top = propagate.ranked(reached).filter(F.col("rank") <= limit).join(where, "node").orderBy("rank").select("node", "path", "qualname", "score", "distance", "reasons")
     stats = propagate.spread_stats(reached, seeds).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ class CodeGraph:
     edges: DataFrame
     files: DataFrame
     refs: DataFrame
+    #: How long the jobs took that built it.
+    seconds: float = 0.0
 
     def stats(self) -> DataFrame:
         """repo_id, name, n: files, parse errors, nodes, edges, modules, ambiguous modules and what became of references."""
@@ -208,11 +211,13 @@ def resolve_references(parsed: DataFrame, names: Names, max_ambiguity: int = AMB
 
 def build_graph(files: DataFrame, analysers: dict | None = None, max_ambiguity: int = AMBIGUITY_AT_MOST) -> CodeGraph:
     """The graph of files (repo_id, path, source): definitions, containment, imports, inheritance, calls."""
+    began = time.monotonic()
     parsed = materialise(parse(files, analysers), "parsed")
     names = known_names(parsed, max_ambiguity)
     edges, _, refs = resolve_references(parsed, names, max_ambiguity)
     told = parsed.join(names.modules, ["repo_id", "path"]).select("repo_id", "path", "module", "n_lines", "errors")
-    return CodeGraph(names.nodes, materialise(edges.drop("path"), "edges"), told, refs)
+    kept = materialise(edges.drop("path"), "edges")
+    return CodeGraph(names.nodes, kept, told, refs, time.monotonic() - began)
 
 
 def _targets(parsed: DataFrame, modules: DataFrame) -> DataFrame:

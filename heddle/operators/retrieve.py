@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -17,6 +17,11 @@ BUDGET, K, SNIPPET_LINES = 8000, 12, 80
 SNIPPET = "issue_id, position, path, start_line, end_line, text, score, symbol, reason, tokens"
 
 
+def place_of(node: Column) -> Column:
+    """A node as reasons name it: ``path:qualname``, without its repository."""
+    return F.regexp_replace(F.regexp_replace(node, r"^[^|]*\|", ""), "::", ":")
+
+
 class Retriever(Protocol):
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
         """Snippets for every issue (issue_id, repo_id, text) from its repository's files (repo_id, path, source)."""
@@ -31,6 +36,8 @@ class GraphRetriever:
     min_confidence: float = 0.0
     max_snippet_lines: int = SNIPPET_LINES
     graph: CodeGraph | None = None
+    #: After ``retrieve``, one row for each issue: see ``context_statistics``.
+    statistics: DataFrame | None = None
 
     def rank(self, issues: DataFrame, files: DataFrame) -> DataFrame:
         """issue_id, repo_id, node, path, score, distance, reasons and position, the order before files take turns."""
@@ -46,7 +53,7 @@ class GraphRetriever:
         nodes = graph.nodes.select(key("node").alias("node"), (F.col("qualname") == MODULE_SYMBOL).alias("is_module"))
         given = seeds.select(key("issue_id").alias("issue_id"), key("node").alias("node"), "weight")
         grid = propagate.configs(issues.sparkSession, [(*s, False) for s in settings])
-        reached = propagate.ranked(propagate.spread(edges, nodes, given, grid))
+        reached = propagate.ranked(propagate.spread(edges, nodes, given, grid, label=place_of))
         bare = lambda c: F.regexp_replace(c, r"^[^|]*\|", "")
         ranked = reached.select("config", bare("issue_id").alias("issue_id"), F.regexp_extract("issue_id", r"^([^|]*)\|", 1).alias("repo_id"), bare("node").alias("node"), "score", "distance", "reasons", "rank")
         ranked = ranked.join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"])
@@ -63,13 +70,39 @@ class GraphRetriever:
         lines = files.filter("source IS NOT NULL").select("repo_id", "path", F.split(F.regexp_replace("source", r"\n$", ""), "\n", -1).alias("lines"))
         cut = spans.join(lines, ["repo_id", "path"]).withColumn("last", F.least("end_line", F.size("lines"), F.col("start_line") + self.max_snippet_lines - 1)).filter("last >= start_line")
         text = F.array_join(F.slice("lines", F.col("start_line"), F.col("last") - F.col("start_line") + 1), "\n")
-        items = materialise(cut.select("issue_id", "repo_id", "position", "path", "qualname", "graph_rank", "start_line", F.col("last").alias("end_line"), text.alias("text")).withColumn("tokens", ranking.token_cost(F.col("text"))), "snippets")
+        shortened = F.least("end_line", F.size("lines")) > F.col("last")
+        items = materialise(cut.select("issue_id", "repo_id", "position", "path", "qualname", "graph_rank", "start_line", F.col("last").alias("end_line"), text.alias("text"), shortened.alias("shortened")).withColumn("tokens", ranking.token_cost(F.col("text"))), "snippets")
         taken = ranking.budget_pack(items, ["issue_id", "repo_id"], "position", "tokens", self.k, budget_tokens)
+        self.statistics = self.context_statistics(issues, ranked, items, taken, budget_tokens)
         out = taken.drop("tokens").join(items, ["issue_id", "repo_id", "position"])
         symbol = F.when(F.col("qualname") != MODULE_SYMBOL, F.col("qualname"))
         return out.select("issue_id", F.col("picked_at").alias("position"), "path", "start_line", "end_line", "text", F.round(1 - (F.col("picked_at") - 1) / F.lit(self.k), 6).alias("score"), symbol.alias("symbol"), F.concat(F.lit("graph rank "), F.col("graph_rank").cast("string")).alias("reason"), "tokens")
 
 
+    def context_statistics(self, issues: DataFrame, ranked: DataFrame, items: DataFrame, taken: DataFrame, budget_tokens: int) -> DataFrame:
+        """issue_id, repo_id, seeds, seed_files, reached, graph_nodes, graph_files, hops, min_confidence, k, tokens, snippets
+        and truncated_snippets: snippets cut to ``max_snippet_lines`` among those that packing looked at before it was done."""
+        key = ["issue_id", "repo_id"]
+        packed = taken.groupBy(*key).agg(F.count("*").alias("snippets"), F.max("used").alias("tokens"), F.max("position").alias("last"))
+        full = (F.col("snippets") >= self.k) | (F.col("tokens") >= budget_tokens)
+        looked = items.filter("shortened").select(*key, "position").join(packed, key).filter(~full | (F.col("position") <= F.col("last")))
+        parts = [
+            extract_seeds(issues, self.graph).groupBy(*key).agg(F.countDistinct("node").alias("seeds")),
+            named_files(issues, self.graph).groupBy(*key).agg(F.countDistinct("path").alias("seed_files")),
+            ranked.filter("distance >= 0").groupBy(*key).agg(F.count("*").alias("reached")),
+            packed.drop("last"),
+            looked.groupBy(*key).agg(F.count("*").alias("truncated_snippets")),
+        ]
+        out = issues.select(*key).distinct()
+        for part in parts:
+            out = out.join(part, key, "left")
+        sizes = [(self.graph.nodes, "graph_nodes"), (self.graph.files, "graph_files")]
+        for table, name in sizes:
+            out = out.join(table.groupBy("repo_id").agg(F.count("*").alias(name)), "repo_id", "left")
+        counts = [c for c in out.columns if c not in key]
+        return out.select(*key, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.lit(self.max_hops).alias("hops"), F.lit(self.min_confidence).alias("min_confidence"), F.lit(self.k).alias("k"))
+
+
 @dataclass
 class EmbeddingRetriever:
     """Windows of lines by the cosine of their vectors with the issue's: the control without a graph."""

@@ -94,3 +94,17 @@ def test_a_hundred_thousand_points_and_spans_on_one_key(spark):
     levels = spans.selectExpr("key", "length(bin(span_end - span_start)) AS level", "span_start", "span_end").selectExpr("level", "explode(array_distinct(array(shiftright(span_start, level), shiftright(span_end, level)))) AS bin")
     met = levels.join(points.selectExpr("at", "explode(array(4, 20)) AS level").selectExpr("level", "shiftright(at, level) AS bin"), ["level", "bin"]).count()
     assert met < 8 * n
+
+
+def test_statistics_of_a_context(spark):
+    from heddle.operators.retrieve import GraphRetriever
+
+    long = "def long():\n" + "    x = 1\n" * 30 + "def short():\n    long()\n"
+    files = spark.createDataFrame([("r", "a.py", long)], "repo_id string, path string, source string")
+    issues = spark.createDataFrame([("i", "r", "`long` and short() in a.py"), ("j", "r", "nothing here")], "issue_id string, repo_id string, text string")
+    by = GraphRetriever(max_snippet_lines=10)
+    found = by.retrieve(issues, files)
+    got = {r.issue_id: r for r in by.statistics.collect()}
+    cut = [r for r in found.filter("issue_id = 'i'").collect() if r.end_line - r.start_line + 1 == 10]
+    assert got["i"].truncated_snippets == len(cut) > 0 and got["i"].seed_files == 1 and got["i"].seeds >= 2 and got["i"].graph_files == 1
+    assert (got["j"].seeds, got["j"].reached, got["j"].snippets, got["j"].truncated_snippets) == (0, 0, 0, 0)

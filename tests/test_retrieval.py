@@ -235,9 +235,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert cli.main(["resolve", str(tree), str(tmp_path / "issue.json"), "--out", str(tmp_path / "c.json")], spark) == 0
     found = json.loads((tmp_path / "c.json").read_text())
     assert found["files"][0] == "pkg/models.py" and found["mode"] == "graph"
+    stats = found["stats"]
+    assert stats["seeds"] >= 1 and stats["snippets"] == len(found["snippets"]) and stats["tokens"] == found["token_estimate"] and stats["reached"] >= stats["seeds"]
+    assert stats["truncated_snippets"] == 0 and stats["graph_nodes"] > stats["graph_files"] > 0 and stats["k"] == 12 and stats["build_seconds"] > 0
     assert cli.main(["attempt", str(tree), str(tmp_path / "issue.json"), "--out", str(tmp_path / "p.txt")], spark) == 0
     assert (tmp_path / "p.txt").read_text() == api.STUB_PATCH
     top = api.blast_radius(spark, str(tree), "Response.json() fails", hops=1, limit=3)
+    assert all(" from pkg/" in r or " to pkg/" in r or r == "seed" or ".py:" in r for row in top["ranked"] for r in row["reasons"]) and "::" not in str([r["reasons"] for r in top["ranked"]])
     assert top["ranked"][0]["distance"] == 0 and top["seeds"][0]["weight"] == 1.5 and len(top["ranked"]) <= 3
     assert api.resolve(spark, str(tree), "Response.json() fails").stub
 
