@@ -68,7 +68,7 @@ def below(classes: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 class Reindexer:
-    """Applies batches of changes to versioned tables: files, parsed, modules, exports, nodes, edges, bases and outcomes.
+    """Applies batches of changes to versioned tables: files, deleted, parsed, modules, exports, nodes, edges, bases and outcomes.
 
     A batch parses the files that it changes, works out again what names stand for in the repositories that it touches,
     and resolves the references of files that are changed or mention a name that may mean something else. All tables
@@ -76,7 +76,7 @@ class Reindexer:
     passed over, also after a deletion.
     """
 
-    TABLES = ("files", "parsed", "modules", "exports", "nodes", "edges", "bases", "outcomes")
+    TABLES = ("files", "deleted", "parsed", "modules", "exports", "nodes", "edges", "bases", "outcomes")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.snapshots = spark, Snapshots(spark, path)
@@ -90,7 +90,7 @@ class Reindexer:
         touched = [r.b for r in given.select(bucket_of(F.col("repo_id")).alias("b")).distinct().collect()]
         repos = given.select("repo_id").distinct()
         old = lambda name, schema=None: base.table(name, touched, schema)
-        files_old = old("files", CHANGES)
+        files_old = old("files", CHANGES).unionByName(old("deleted", CHANGES))
         files = materialise(newest(files_old.unionByName(given)), "files")
         before = files_old.filter("source IS NOT NULL").select(*FILE, F.col("source").alias("was"))
         changed = materialise(files.join(repos, "repo_id").join(before, FILE, "left").filter(~F.col("source").eqNullSafe(F.col("was"))).select(*FILE, "source"), "changed")
@@ -126,7 +126,8 @@ class Reindexer:
             bases_new = bases_new.join(later, FILE, "left_anti").unionByName(more[1])
         carried = lambda name, t: old(name, t.schema.toDDL()).join(repos, "repo_id", "left_anti").unionByName(t)
         tables = {
-            "files": files,
+            "files": files.filter("source IS NOT NULL"),
+            "deleted": files.filter("source IS NULL"),
             "parsed": parsed,
             "modules": carried("modules", names.modules),
             "exports": carried("exports", names.exports),
