@@ -59,5 +59,5 @@ def test_pipeline_edges(spark, tmp_path):
 
 def test_stages_and_queries():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "decontamination", "tokens"]
-    assert sorted({int(q[2:].split("_")[0]) for q in queries.queries()}) == list(range(1, 11))
+    assert sorted({int(q[2:].split("_")[0]) for q in queries.queries()}) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries()) and json.dumps(queries.oracle_sql())
