@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from . import embed, propagate, ranking
+from . import embed, propagate, ranking, vectors
+from .order import placed
 from .resolve import MODULE_SYMBOL, CodeGraph, build_graph
 from .seeds import extract_seeds, named_files
 
 BUDGET, K, SNIPPET_LINES = 8000, 12, 80
+#: Chunks listed for an issue at first, by snippet wanted, and how many times as many where they were too few.
+FIRST_LISTS, LONGER = 4, 8
 SNIPPET = "issue_id, position, path, start_line, end_line, text, score, symbol, reason, tokens"
 
 
@@ -113,24 +117,52 @@ class EmbeddingRetriever:
     index: DataFrame | None = None
 
     def build_index(self, files: DataFrame) -> DataFrame:
-        """repo_id, path, start_line, end_line, text, embedding, tokens."""
+        """repo_id, path, start_line, end_line, text, embedding, tokens and chunk_id, in the order of the first three."""
         keyed = files.filter("source IS NOT NULL AND path LIKE '%.py'").select(F.struct("repo_id", "path").alias("at"), "source")
         chunks = ranking.chunk_lines(keyed, self.chunk_lines, key="at", text="source")
         coded = self.encoder(chunks.select("at.repo_id", "at.path", "start_line", "end_line", "text"), "text")
-        return materialise(coded.withColumn("tokens", ranking.token_cost(F.col("text"))), "chunks")
+        place = ["repo_id", "path", "start_line"]
+        dealt = coded.withColumn("tokens", ranking.token_cost(F.col("text"))).repartitionByRange(*place).sortWithinPartitions(*place)
+        return materialise(dealt.withColumn("chunk_id", F.monotonically_increasing_id()), "chunks")
+
+    def _asked(self, issues: DataFrame, files: DataFrame) -> DataFrame:
+        self.index = self.index if self.index is not None else self.build_index(files)
+        return self.encoder(issues.select("issue_id", "repo_id", "text"), "text").drop("text")
 
     def rank(self, issues: DataFrame, files: DataFrame) -> DataFrame:
         """issue_id, repo_id, path, start_line, end_line, tokens, score and position of every chunk; texts stay in the index."""
-        self.index = self.index if self.index is not None else self.build_index(files)
-        asked = self.encoder(issues.select("issue_id", "repo_id", "text"), "text").select("issue_id", "repo_id", F.col("embedding").alias("wanted"))
-        near = self.index.drop("text").join(asked, "repo_id").withColumn("score", propagate.rounded(F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
-        order = Window.partitionBy("issue_id").orderBy(F.desc("score"), "path", "start_line")
-        return near.drop("embedding", "wanted").withColumn("position", F.row_number().over(order))
+        asked = self._asked(issues, files).withColumnRenamed("embedding", "wanted")
+        near = self.index.drop("text", "chunk_id").join(asked, "repo_id").withColumn("score", propagate.rounded(F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+        return placed(near.drop("embedding", "wanted"), ["issue_id", "repo_id"], [F.desc("score"), "path", "start_line"])
+
+    def nearest(self, asked: DataFrame, at_most: int) -> DataFrame:
+        """``rank`` with chunk_id, of the first ``at_most`` chunks of each issue; no list of all chunks is made or sorted.
+
+        ``asked``: query_id (negative), issue_id, repo_id, embedding. The index has been built.
+        """
+        chunks = self.index.select("repo_id", F.col("chunk_id").alias("vec_id"), "embedding")
+        queries = asked.select("repo_id", F.col("query_id").alias("vec_id"), "embedding")
+        found = vectors.top_by_group(chunks, queries, "repo_id", at_most)
+        named = found.select("query_id", F.col("rank").alias("position"), F.col("vec_id").alias("chunk_id"), F.col("cosine").alias("score"))
+        return named.join(asked.drop("embedding", "repo_id"), "query_id").join(self.index.drop("embedding", "text"), "chunk_id")
 
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
-        items = materialise(self.rank(issues, files), "chunk-ranks")
-        taken = ranking.budget_pack(items, ["issue_id"], "position", "tokens", self.k, budget_tokens)
-        out = taken.drop("tokens").join(items, ["issue_id", "position"]).join(self.index.select("repo_id", "path", "start_line", "text"), ["repo_id", "path", "start_line"])
+        """Snippets of every issue; an issue whose list ends before its budget and k are used up is given a longer one."""
+        asked = materialise(self._asked(issues, files).withColumn("query_id", -1 - F.monotonically_increasing_id()), "asked")
+        at_most, packed = FIRST_LISTS * self.k, []
+        while True:
+            items = materialise(self.nearest(asked, at_most), "chunk-ranks")
+            taken = materialise(ranking.budget_pack(items, ["query_id"], "position", "tokens", self.k, budget_tokens), "packed")
+            ended = taken.groupBy("query_id").agg(F.count("*").alias("n"), F.max("used").alias("used")).filter((F.col("n") >= self.k) | (F.col("used") >= budget_tokens)).select("query_id")
+            whole = items.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") < at_most).select("query_id")
+            done = ended.union(whole).distinct()
+            packed.append(taken.drop("tokens").join(items, ["query_id", "position"]).join(done, "query_id"))
+            # an issue whose repository has no chunk is in no list
+            asked = materialise(asked.join(done, "query_id", "left_anti").join(items.select("query_id").distinct(), "query_id", "left_semi"), "asked")
+            if asked.isEmpty():
+                break
+            at_most *= LONGER
+        out = reduce(DataFrame.unionByName, packed).join(self.index.select("chunk_id", "text"), "chunk_id")
         why = F.format_string("embedding rank %d, cosine=%.3f", F.col("position"), F.col("score"))
         return out.select("issue_id", F.col("picked_at").alias("position"), "path", "start_line", "end_line", "text", "score", F.lit(None).cast("string").alias("symbol"), why.alias("reason"), "tokens")
 

@@ -4,19 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
 from pathlib import Path
-from typing import TextIO
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Folders whose files are no sources of a repository.
-SKIP_DIRS = (".git", ".venv", "venv", "env", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", ".ruff_cache", "build", "dist", ".eggs", ".tox")
-SUFFIXES = (".py", ".pyi")
-FILES = "repo_id string, path string, source string"
+from .files import SKIP_DIRS, SUFFIXES, register
+
 ISSUES = "issue_id string, title string, body string"
 PREDICTION_NAMES_TAKEN = ("gold", "none")
 REPORT = "total_instances int, submitted_instances int, completed_instances int, resolved_instances int, unresolved_instances int, resolved_ids array<string>, unresolved_ids array<string>, error_ids array<string>, empty_patch_ids array<string>, schema_version int"
@@ -31,40 +26,19 @@ def wanted(path: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return fits & ~F.arrays_overlap(F.split(path, "/", -1), F.array(*map(F.lit, SKIP_DIRS)))
 
 
-def listed(root: str | os.PathLike, suffixes: tuple[str, ...] = SUFFIXES) -> Iterator[str]:
-    """Relative paths of a tree's source files. Spark's own file listing leaves out names that begin with ``_``."""
-    for folder, below, names in os.walk(root):
-        below[:] = sorted(d for d in below if d not in SKIP_DIRS)
-        for name in sorted(names):
-            if name.endswith(suffixes):
-                yield Path(folder, name).relative_to(root).as_posix()
+def _tree(spark: SparkSession, root: str | os.PathLike, **options: str) -> DataFrame:
+    register(spark)
+    return spark.read.format("source_tree").options(**options).load(str(Path(root).resolve()))
 
 
 def read_repo(spark: SparkSession, root: str | os.PathLike, repo_id: str = "repo", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """FILES of a tree in a folder that all executors see: paths are listed once, files are read in tasks.
-
-    Bytes that are not UTF-8 are replaced and line ends made ``\\n``; a file that can't be read has a null source.
-    """
-    base = str(Path(root).resolve())
-    paths = spark.createDataFrame([(p,) for p in listed(base, suffixes)], "path string")
-
-    def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sources = []
-            for path in frame["path"]:
-                try:
-                    sources.append(Path(base, path).read_text(encoding="utf-8", errors="replace"))
-                except OSError:
-                    sources.append(None)
-            yield pd.DataFrame({"repo_id": repo_id, "path": frame["path"], "source": pd.Series(sources, dtype=object)})
-
-    return paths.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(read, FILES)
+    """FILES of a tree in a folder that all executors see: see ``files.SourceTree``."""
+    return _tree(spark, root, repo_id=repo_id, suffixes=",".join(suffixes))
 
 
 def read_trees(spark: SparkSession, root: str | os.PathLike) -> DataFrame:
     """FILES of many trees, one in each folder of ``root``, whose name is its repo_id."""
-    at = F.split("path", "/", 2)
-    return read_repo(spark, root).filter(F.contains("path", F.lit("/"))).select(at[0].alias("repo_id"), at[1].alias("path"), "source")
+    return _tree(spark, root, trees="true")
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
@@ -116,32 +90,25 @@ def checked_predictions(predictions: DataFrame) -> DataFrame:
     return predictions.select("instance_id", "model_patch", F.when(taken, F.raise_error(F.concat(F.lit("reserved model name: "), name))).otherwise(name).alias("model_name_or_path"))
 
 
-def _write_list(out: TextIO, df: DataFrame) -> int:
-    n = 0
-    out.write("[")
-    for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        out.write((",\n " if n else "\n ") + row.j)
-        n += 1
-    out.write("\n]")
-    return n
+def _write_list(df: DataFrame, path: str | os.PathLike, head: str = "", tail: str = "\n") -> int:
+    at = Path(path).resolve()
+    at.parent.mkdir(parents=True, exist_ok=True)
+    register(df.sparkSession)
+    seen = Observation()
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.format("json_list").mode("overwrite").options(head=head, tail=tail).save(str(at))
+    return seen.get["n"]
 
 
 def write_json_list(df: DataFrame, path: str | os.PathLike) -> int:
-    """Write rows as one JSON list, a row at a time, in folders made as needed; the number of rows."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        n = _write_list(out, df)
-        out.write("\n")
-    return n
+    """Write rows as one JSON list, whole or not at all, in folders made as needed; the number of rows."""
+    return _write_list(df, path)
 
 
 def write_evaluation(rows: DataFrame, summary: DataFrame, config: dict, path: str | os.PathLike) -> int:
-    """Write {summary, config, rows} as one JSON object, a row at a time; the number of rows."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write('{"summary": ')
-        _write_list(out, summary)
-        out.write(f',\n"config": {json.dumps(config)},\n"rows": ')
-        n = _write_list(out, rows)
-        out.write("}\n")
-    return n
+    """Write {summary, config, rows} as one JSON object, whole or not at all; the number of rows.
+
+    The summary has a row for each mode and level, so it is gathered; rows are not.
+    """
+    said = ",\n ".join(r.j for r in summary.select(F.to_json(F.struct(*summary.columns), {"ignoreNullFields": "false"}).alias("j")).collect())
+    return _write_list(rows, path, f'{{"summary": [\n {said}\n],\n"config": {json.dumps(config)},\n"rows": ', "}\n")
