@@ -7,10 +7,12 @@ every run of characters other than letters, digits and dots made one space, trim
 
 Known sentences are looked up in a table of normalised texts. A sentence of a licence's body counts wherever it stands
 whole in a normalised sentence, since names, years and list numbers may stand around it. A licence's name counts if it is
-the whole sentence or if words that refer to a licence come before it. A known text inside a longer known text does not
-count. The identifiers of a document, in order, are then matched against ordered rules: a rule is a sequence of
+the whole sentence or if words that refer to a licence come before it, unless they are denied (``not licensed under``).
+A known text inside a longer known text does not count. The identifiers of a document, in order, are then matched against ordered rules: a rule is a sequence of
 identifiers that must follow one another, other known sentences only in between if it says so; rules are tried in order,
-the longer before the shorter, and the identifiers that a rule uses are not used again.
+the longer before the shorter, and the identifiers that a rule uses are not used again. A whole licence goes from its
+title to its last known sentence and uses all between, so that licences which it mentions, and the notices that it shows as
+examples, do not count; no such rule reaches over the title of another licence. A title without its end still counts.
 
 All of it runs in the JVM; only sentences that hold one of the fixed ``CUES`` are looked up.
 
@@ -41,8 +43,8 @@ NAMES: tuple[tuple[str, ...], ...] = (
     ("ISC", "isc license", "isc licence", "isc"),
     ("MPL-2.0", "mozilla public license version 2.0", "mozilla public license v. 2.0", "mozilla public license v2.0", "mozilla public license 2.0", "mpl 2.0"),
     ("MPL-1.1", "mozilla public license version 1.1", "mozilla public license 1.1", "mpl 1.1"),
-    ("EPL-2.0", "eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license v. 2.0", "eclipse public license 2.0", "epl 2.0"),
-    ("EPL-1.0", "eclipse public license version 1.0", "eclipse public license v1.0", "eclipse public license 1.0", "epl 1.0"),
+    ("EPL-2.0", "eclipse public license version 2.0", "eclipse public license v2.0", "eclipse public license v. 2.0", "eclipse public license v 2.0", "eclipse public license 2.0", "epl 2.0"),
+    ("EPL-1.0", "eclipse public license version 1.0", "eclipse public license v1.0", "eclipse public license v 1.0", "eclipse public license 1.0", "epl 1.0"),
     ("CDDL-1.0", "common development and distribution license version 1.0", "common development and distribution license", "cddl 1.0", "cddl"),
     ("CPL-1.0", "common public license version 1.0", "common public license", "cpl 1.0"),
     ("IPL-1.0", "ibm public license version 1.0", "ibm public license"),
@@ -65,6 +67,10 @@ NAMES: tuple[tuple[str, ...], ...] = (
     ("CC-BY-SA", "cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
     ("CC-BY-ND", "cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs"),
     ("CC-BY", "cc by", "creative commons attribution"),
+    ("GFDL-1.3", "gnu free documentation license version 1.3", "gnu fdl 1.3", "gfdl 1.3"),
+    ("GFDL-1.2", "gnu free documentation license version 1.2", "gnu fdl 1.2", "gfdl 1.2"),
+    ("GFDL-1.1", "gnu free documentation license version 1.1", "gnu fdl 1.1", "gfdl 1.1"),
+    ("GFDL", "gnu free documentation license", "gnu fdl", "gfdl"),
     ("OFL-1.1", "sil open font license version 1.1", "sil open font license", "open font license", "ofl 1.1"),
     ("PSF-2.0", "python software foundation license version 2", "python software foundation license", "psf license", "psf 2.0"),
     ("Python-2.0", "python license", "python 2.0"),
@@ -143,10 +149,40 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("wtfpldo", "you just do what the fuck you want to"),
     ("epltext", "this program and the accompanying materials are made available under the terms of the"),
     ("oflfont", "this font software is licensed under the sil open font license"),
+    ("gnuinstead", "if this is what you want to do use the gnu lesser general public license instead of this license"),
+    ("gnuinstead", "if this is what you want to do use the gnu library general public license instead of this license"),
+    ("gnuwaiver", "an absolute waiver of all civil liability in connection with the program"),
+    ("gnudisclaim", "hereby disclaims all copyright interest in the"),
+    ("gnuproxy", "if the library as you received it specifies that a proxy can decide whether future versions of the"),
+    ("agplsee", "for more information on this and how to apply and follow the gnu agpl see"),
+    ("gfdlcode", "if your document contains nontrivial examples of program code we recommend releasing these examples in parallel under your choice of free software license such as the gnu general public license to permit their use in free software"),
+    ("mplmeans", "incompatible with secondary licenses means"),
+    ("mplincompatible", "this source code form is incompatible with secondary licenses as defined by the"),
+    ("mpllarger", "larger work means a work which combines covered code or portions thereof with code not governed by the terms of this license"),
+    ("mpleither", "if you do not delete the provisions above a recipient may use your version of this file under either the mpl"),
+    ("eplagreement", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("eplsimply", "simply including a copy of this agreement including this exhibit a is not sufficient to license the source code under secondary licenses"),
+    ("artisticintent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artisticasis", "this package is provided as is and without any express or implied warranties"),
     ("copyrightc", "copyright c"),
     ("allrights", "all rights reserved"),
 )
 
+# Whole licences: the title and date at their head, normalised, and the sentences that may end them.
+WHOLE: tuple[tuple[str, str, str], ...] = (
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", "agplsee gnuwaiver"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", "gnuinstead gnuwaiver"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991", "gnuinstead gnudisclaim"),
+    ("GPL-1.0", "gnu general public license version 1 february 1989", "gnudisclaim"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", "gnuproxy"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1 february 1999", "gnudisclaim"),
+    ("LGPL-2.0", "gnu library general public license version 2 june 1991", "gnudisclaim"),
+    ("GFDL-1.3", "gnu free documentation license version 1.3 3 november 2008", "gfdlcode"),
+    ("GFDL-1.2", "gnu free documentation license version 1.2 november 2002", "gfdlcode"),
+    ("GFDL-1.1", "gnu free documentation license version 1.1 march 2000", "gfdlcode"),
+    ("Apache-2.0", "apache license version 2.0 january 2004", "apacheasis"),
+)
+
 # Ordered rules of bodies. A rule's parts follow one another; "*" lets other known sentences stand between.
 BODY_RULES: tuple[tuple[str, str], ...] = (
     ("BSD-4-Clause", "bsdgrant bsdsource bsdbinary bsdadvert bsdendorse bsdasis"),
@@ -168,11 +204,19 @@ BODY_RULES: tuple[tuple[str, str], ...] = (
 CUES = ("licen", "permi", "copyright", "rights reserved", "warrant", "redistribut", "endorse", "provided", "public domain", "cc0", "creative commons", "as is", "as-is", "as\nis", "cc by", "cc-by", "gpl", "mentioning", "misrepresented", "plainly marked", "this notice", "free software", "open source", "mpl", "anyone is free", "just do what")
 REFERRING = r" (under|subject to|terms of|terms and conditions of|governed by|covered by|identifier|received a copy of|licen[sc]e is|licen[sc]es?)( [a-z0-9.]+){0,6} $"
 
+# What denies such words. Between them and the name only these stand.
+DENIED = r" (not|never|no longer|isn t|aren t|wasn t|weren t)( be| been| being| licen[sc]ed| released| distributed| redistributed| published| provided| offered| available| made| now){0,3} (under|subject to|governed by|covered by)( the| a| an| any| terms| conditions| and| of){0,6} $"
+
 
 def ident(spdx: str) -> str:
     return "ref" + "".join(c for c in spdx.lower() if c.isalnum())
 
 
+def title(spdx: str) -> str:
+    """The identifier of a whole licence's title; the hyphen in it keeps rules from reaching over it."""
+    return f"title-{ident(spdx)[3:]}"
+
+
 def gnu_versions() -> list[tuple[str, str]]:
     """(licence, family) of every GNU licence, by rule."""
     return [(f"{family}-{v}{tail}", family) for family, versions, _ in GNU for v in versions for tail in ("-or-later", "-only", "")]
@@ -181,16 +225,28 @@ def gnu_versions() -> list[tuple[str, str]]:
 def known_texts() -> list[tuple[str, str, str]]:
     """(identifier, normalised text, kind: sentence, name or gnu) of everything that is looked up."""
     named = [(ident(spdx), name, "name") for spdx, *names in NAMES for name in names]
-    return [(i, text, "sentence") for i, text in SENTENCES] + named + [(ident(family), name, "gnu") for family, _, names in GNU for name in names]
+    titles = [(title(spdx), text, "sentence") for spdx, text, _ in WHOLE]
+    return titles + [(i, text, "sentence") for i, text in SENTENCES] + named + [(ident(family), name, "gnu") for family, _, names in GNU for name in names]
 
 
 def rules() -> list[tuple[str, str]]:
-    """(licence, rule) in order: bodies, then the Apache and Mozilla notices around a name, then names alone."""
+    """(licence, rule) in order: whole licences, bodies, then the Apache and Mozilla notices around a name, then names alone."""
     spdx = [*dict.fromkeys(row[0] for row in NAMES), *(i for i, _ in gnu_versions()), *(family for family, _, _ in GNU)]
     notices = [("Apache-2.0", f"{ident('Apache-2.0')} apacheterms apachecopy * apacheasis"), ("MPL-2.0", f"mplform {ident('MPL-2.0')} mplcopy")]
     # a warranty notice names the licence anew, without a version
     later = [(s, f"{ident(s)} gnuwarranty gnureceived {ident(family)}") for s, family in gnu_versions()]
-    return [*BODY_RULES, *notices, *later, *((s, ident(s)) for s in spdx)]
+    ended = [(s, f"{title(s)} * {end}") for s, _, ends in WHOLE for end in ends.split()]
+    headed = [
+        ("MPL-2.0", f"{ident('MPL-2.0')} mplmeans * mplincompatible {ident('MPL-2.0')}"),
+        ("MPL-1.1", f"{ident('MPL-1.1')} mpllarger * mpleither"),
+        ("EPL-2.0", f"{ident('EPL-2.0')} eplagreement * eplsimply"),
+        ("EPL-2.0", f"{ident('EPL-2.0')} eplagreement"),
+        ("EPL-1.0", f"{ident('EPL-1.0')} eplagreement"),
+        ("Artistic-1.0", "artisticintent * artisticasis"),
+        ("Artistic-1.0", "artisticintent"),
+    ]
+    begun = [(s, title(s)) for s, _, _ in WHOLE]
+    return [*ended, *headed, *begun, *BODY_RULES, *notices, *later, *((s, ident(s)) for s in spdx)]
 
 
 _MARKS = r"(?m)^[ \t]*(?:(?:#+|//+|/\*+|\*+/?|--+|;+|%+|dnl\b|REM\b)[ \t]*)?"
@@ -230,7 +286,8 @@ def sentence_ids(norm: Column) -> Column:
         return F.struct(F.call_function("instr", norm, k["text"]).alias("at"), k["size"].alias("size"), k["id"].alias("id"), k["kind"].alias("kind"))
 
     def meant(k: Column) -> Column:
-        return (k["kind"] == "sentence") | (F.length(norm) == k["size"] + 2) | F.substr(norm, F.lit(1), k["at"]).rlike(REFERRING)
+        before = F.substr(norm, F.lit(1), k["at"])
+        return (k["kind"] == "sentence") | (F.length(norm) == k["size"] + 2) | (before.rlike(REFERRING) & ~before.rlike(DENIED))
 
     def outer(k: Column, others: Column) -> Column:
         return ~F.exists(others, lambda o: (o["at"] <= k["at"]) & (o["at"] + o["size"] >= k["at"] + k["size"]) & (o["size"] > k["size"]))
@@ -246,7 +303,7 @@ def sentence_ids(norm: Column) -> Column:
 
 
 def rule_pattern(rule: str) -> str:
-    """A rule as a pattern over identifiers that each have a space before and behind."""
+    """A rule as a pattern over identifiers that each have a space before and behind; ``*`` passes over no title."""
     return "".join(r"(?: [a-z0-9]+ )*?" if part == "*" else f" {part} " for part in rule.split())
 
 
@@ -298,7 +355,7 @@ plain AS (
   FROM cut, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) WHERE regexp_matches(lower(s[i]), {_quoted('|'.join(CUES))})
 ), hit AS (
   SELECT rid, i, norm, id, kind, size, instr(norm, t) AS pos FROM sentence JOIN known ON contains(norm, t)
-  WHERE kind = 'sentence' OR length(norm) = size + 2 OR regexp_matches(substr(norm, 1, instr(norm, t)), {_quoted(REFERRING)})
+  WHERE kind = 'sentence' OR length(norm) = size + 2 OR (regexp_matches(substr(norm, 1, instr(norm, t)), {_quoted(REFERRING)}) AND NOT regexp_matches(substr(norm, 1, instr(norm, t)), {_quoted(DENIED)}))
 ), kept AS (
   SELECT *, regexp_extract(substr(norm, pos + size + 1), {_quoted(GNU_TAIL)}, ['v', 'l', 'o']) AS g FROM hit h
   WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.rid = h.rid AND o.i = h.i AND o.pos <= h.pos AND o.pos + o.size >= h.pos + h.size AND o.size > h.size)

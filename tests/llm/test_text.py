@@ -1,5 +1,6 @@
 """Decontamination, quality, tokens, licences, rollups, search and the pipeline against brute force or public libraries."""
 
+import os
 import random
 import zlib
 
@@ -305,6 +306,40 @@ def test_wrapped_licenses(spark):
     assert got == {i: set(name.split(",")) for i, name in enumerate(WRAPPED)}
 
 
+SYSTEM_LICENCES = "/usr/share/common-licenses"
+WHOLE_FILES = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0", "Apache-2.0": "Apache-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SYSTEM_LICENCES), reason="the system has no licence files")
+def test_whole_licence_files(spark):
+    texts = {name: open(f"{SYSTEM_LICENCES}/{name}", encoding="utf-8", errors="replace").read() for name in WHOLE_FILES if os.path.exists(f"{SYSTEM_LICENCES}/{name}")}
+    names = list(texts)
+    rows = [(i, texts[n]) for i, n in enumerate(names)]
+    # two licences one after the other stay two, also where the first lacks its end
+    pairs = [("GPL-3", "GPL-2"), ("GPL-2", "Apache-2.0"), ("GFDL-1.2", "LGPL-3")]
+    rows += [(100 + i, texts[a][: len(texts[a]) // 2] + "\n\n" + texts[b]) for i, (a, b) in enumerate(pairs) if a in texts and b in texts]
+    got = {r.doc_id: set(r.licenses.split(",")) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert {n: got[i] for i, n in enumerate(names)} == {n: {WHOLE_FILES[n]} for n in names}
+    for i, (a, b) in enumerate(pairs):
+        assert got.get(100 + i, {WHOLE_FILES[a], WHOLE_FILES[b]}) == {WHOLE_FILES[a], WHOLE_FILES[b]}
+
+
+def test_titles_and_denials(spark):
+    want = {
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n": "GPL-3.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nSee the GNU Lesser General Public License.": "AGPL-3.0",
+        "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\").": "EPL-2.0",
+        "This file is not licensed under the MIT license.": "",
+        "It isn't available under the terms of the GPL.": "",
+        "It is not released under the GPL but licensed under the MIT license.": "MIT",
+        "Do not use this file except under the terms of the MIT license.": "MIT",
+        "Published under the GNU Free Documentation License, Version 1.2.": "GFDL-1.2",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert {text: got[i] for i, text in rows} == want
+
+
 def test_many_licenses_by_name(spark):
     rows = [(i, f"This work is made available under the terms of\nthe {row[1]}.") for i, row in enumerate(license_scan.NAMES)]
     got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, rows)).collect()}
