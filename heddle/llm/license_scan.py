@@ -12,7 +12,8 @@ A known text inside a longer known text does not count. The identifiers of a doc
 identifiers that must follow one another, other known sentences only in between if it says so; rules are tried in order,
 the longer before the shorter, and the identifiers that a rule uses are not used again. A whole licence goes from its
 title to its last known sentence and uses all between, so that licences which it mentions, and the notices that it shows as
-examples, do not count; no such rule reaches over the title of another licence. A title without its end still counts.
+examples, do not count; no such rule reaches over the title of another licence. A title without its end still counts, and so
+does what is mentioned after it.
 
 All of it runs in the JVM; only sentences that hold one of the fixed ``CUES`` are looked up.
 
