@@ -17,7 +17,8 @@ def recall_at_k(ranked: DataFrame, gold: DataFrame, by: list[str], item: str, le
     ``ranked``: by..., item, rank. ``gold``: by..., item. An item that is ranked twice counts at its first rank.
     """
     sizes = gold.groupBy(*by).agg(F.countDistinct(item).alias("n_gold"))
-    hits = ranked.join(gold.distinct(), [*by, item]).groupBy(*by, item).agg(F.min(rank).alias("first_rank"))
+    listed = ranked.filter(F.col(rank) <= max(levels, default=0))
+    hits = listed.join(gold.distinct(), [*by, item]).groupBy(*by, item).agg(F.min(rank).alias("first_rank"))
     grid = sizes.withColumn("k", F.explode(F.array(*map(F.lit, levels))))
     joined = grid.join(hits, by, "left").groupBy(*by, "n_gold", "k").agg(F.count_if(F.col("first_rank") <= F.col("k")).alias("n_hit"))
     return joined.select(*by, "k", rounded(F.col("n_hit") / F.col("n_gold")).alias("recall"), (F.col("n_hit") > 0).alias("any_hit"))

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
-from .propagate import few
+from ..storage import few, materialise
 
 GRAMS = (8, 3, 1)
 #: 8 MB of bits at most, 2**20 words to the driver.

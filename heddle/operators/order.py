@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
-from .propagate import few
+from ..storage import few, materialise
 
 
 def _same(by: list[str], other: str) -> list[Column]:

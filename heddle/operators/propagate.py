@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import BROADCAST_ROWS, few, materialise
+from .order import placed
 
 # How much of a step's mass a relation passes on, against its direction and along it.
 RELATION_WEIGHTS = {"calls": (1.00, 0.45), "inherits": (0.80, 0.55), "imports": (0.30, 0.22), "contains": (0.50, 0.50)}
@@ -15,8 +17,6 @@ OTHER_WEIGHT = 0.2
 DECAY = 0.55
 LEAST_MASS = 1e-6
 REASONS = 3
-#: Rows of a frontier, of nodes or of visited places that are broadcast at most; more of them are joined by a shuffle.
-BROADCAST_ROWS = 400_000
 CONFIG_SCHEMA = "config string, hops int, min_confidence double, include_modules boolean"
 
 
@@ -47,70 +47,118 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(steps).alias("s"), "relation", F.coalesce("confidence", F.lit(1.0)).alias("confidence")).select("s.*", "relation", "confidence")
 
 
-def few(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is a kept table of few rows."""
-    return F.broadcast(df) if df.count() <= at_most else df
+@dataclass(frozen=True)
+class Adjacency:
+    """A graph ready to be walked. nodes: id, node, is_module. steps: a, b (ids), is_module of b, relation, back,
+    confidence, weight. degrees: a, tier, n, how many steps a node has by the confidence of calls (null: other steps,
+    which every setting may take). tiers: the distinct confidences of calls."""
+
+    nodes: DataFrame
+    steps: DataFrame
+    degrees: DataFrame
+    tiers: DataFrame
+
+    def at(self, name: str, ids: DataFrame, column: str) -> DataFrame:
+        """A table that holds at least the rows of these ids."""
+        return getattr(self, name)
+
+    def named(self, wanted: DataFrame) -> DataFrame:
+        """Nodes, at least those that ``wanted`` (node) names."""
+        return self.nodes
+
+    def floors(self, least: set[float]) -> dict[float, float]:
+        """For each least confidence the lowest tier that it lets pass: settings between the same tiers walk alike."""
+        asked = sorted(least)
+        row = self.tiers.agg(*(F.min(F.when(F.col("confidence") >= m, F.col("confidence"))).alias(f"f{i}") for i, m in enumerate(asked))).first()
+        return {m: float("inf") if row[f"f{i}"] is None else row[f"f{i}"] for i, m in enumerate(asked)}
+
+
+def numbered_steps(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """``Adjacency.steps`` of edges between known nodes (id, node, is_module)."""
+    ids = few(known)
+    steps = adjacency(edges).join(ids.select("node", F.col("id").alias("a")), "node").join(ids.select(F.col("node").alias("nb"), F.col("id").alias("b"), "is_module"), "nb")
+    return steps.select("a", "b", "is_module", "relation", "back", "confidence", (F.col("weight") * F.col("confidence")).alias("weight"))
+
+
+def counted_steps(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("a", F.when(F.col("relation") == "calls", F.col("confidence")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+def prepared(edges: DataFrame, nodes: DataFrame) -> Adjacency:
+    """``edges`` (src, dst, relation, confidence) between ``nodes`` (node, is_module), numbered and kept for this session."""
+    known = materialise(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "is_module"), "nodes")
+    steps = materialise(numbered_steps(edges, known), "steps")
+    degrees = materialise(counted_steps(steps), "degrees")
+    return Adjacency(known, steps, degrees, degrees.filter("tier IS NOT NULL").select(F.col("tier").alias("confidence")).distinct())
 
 
 def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, settings: DataFrame, decay: float = DECAY, reasons: bool = True, label: Callable[[Column], Column] = lambda node: node) -> DataFrame:
+    """``spread_over`` a graph that is prepared for this one call."""
+    return spread_over(prepared(edges, nodes), seeds, settings, decay, reasons, label)
+
+
+def spread_over(graph: Adjacency, seeds: DataFrame, settings: DataFrame, decay: float = DECAY, reasons: bool = True, label: Callable[[Column], Column] = lambda node: node) -> DataFrame:
     """issue_id, config, node, distance, mass, visits, reasons: what each issue's seeds reach under each setting.
 
-    ``nodes``: node, is_module. ``seeds``: issue_id, node, weight (null is 1; a node given twice adds up; unknown nodes
-    are left out). ``settings``: CONFIG_SCHEMA. A node's mass is split over its traversable steps, those to modules and
+    ``seeds``: issue_id, node, weight (null is 1; a node given twice adds up; unknown nodes are left out). ``settings``:
+    CONFIG_SCHEMA. A node's mass is split over its traversable steps, those to modules and
     to visited nodes included; modules then lose theirs unless the setting includes them. A node takes all of its mass
     in the hop that first reaches it, and seeds keep their own. visits counts the contributions to a node, reasons are
     the largest three of them, if asked for, with ``label`` naming the node that each came from.
 
-    Nodes get numbers, and their steps are kept once as a table of numbers. Settings that differ in their hops alone
-    share a walk. A hop reads the steps of frontier nodes only, and counts degrees for these: a small frontier is
+    Settings that differ in their hops alone, or in a confidence between the same tiers, share a walk; an issue and a walk
+    are one number, its origin. A hop asks the graph for the steps and degrees of frontier nodes only; a small frontier is
     broadcast to the steps, which then do not move. Each hop is one job over all issues and walks.
     """
-    spark = edges.sparkSession
+    spark = seeds.sparkSession
     rows = settings.select("config", "hops", "min_confidence", "include_modules").collect()
-    ways = sorted({(r.min_confidence, r.include_modules) for r in rows})
-    grid = F.broadcast(spark.createDataFrame([(*r, ways.index((r.min_confidence, r.include_modules))) for r in rows], CONFIG_SCHEMA + ", walk int"))
-    walks = grid.groupBy("walk", "min_confidence", "include_modules").agg(F.max("hops").alias("most"))
-    walks = F.broadcast(spark.createDataFrame(walks.collect(), "walk int, min_confidence double, include_modules boolean, most int"))
-    known = materialise(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "is_module"), "nodes")
-    named = few(known)
-    steps = adjacency(edges).join(named.select("node", F.col("id").alias("a")), "node").join(named.select(F.col("node").alias("nb"), F.col("id").alias("b"), "is_module"), "nb")
-    steps = materialise(steps.select("a", "b", "is_module", "relation", "back", "confidence", (F.col("weight") * F.col("confidence")).alias("weight")), "steps")
-    base = seeds.join(known, "node").groupBy("issue_id", F.col("id").alias("a")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("mass"))
+    floor = graph.floors({r.min_confidence for r in rows})
+    ways = sorted({(floor[r.min_confidence], r.include_modules) for r in rows})
+    most = {w: max(r.hops for r in rows if (floor[r.min_confidence], r.include_modules) == w) for w in ways}
+    walks = F.broadcast(spark.createDataFrame([(i, *w, most[w]) for i, w in enumerate(ways)], "walk int, floor double, include_modules boolean, most int"))
+    grid = F.broadcast(spark.createDataFrame([(r.config, r.hops, ways.index((floor[r.min_confidence], r.include_modules))) for r in rows], "config string, hops int, walk int"))
+    walk = F.pmod("origin", F.lit(len(ways))).cast("int").alias("walk")
+    issues = materialise(seeds.select("issue_id").distinct().select("issue_id", F.monotonically_increasing_id().alias("issue")), "issues")
+    given = seeds.join(few(issues.withColumnRenamed("issue_id", "of")), F.col("issue_id").eqNullSafe(F.col("of")))
+    base = given.join(graph.named(seeds), "node").groupBy("issue", F.col("id").alias("a")).agg(F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("mass"))
     start = F.array(F.lit("seed")) if reasons else F.array().cast("array<string>")
-    hop = materialise(base.crossJoin(walks).select("issue_id", "walk", "a", F.lit(0).alias("distance"), "mass", F.lit(0).cast("long").alias("visits"), start.alias("reasons")), "hop")
+    origin = (F.col("issue") * len(ways) + F.col("walk")).alias("origin")
+    hop = materialise(base.crossJoin(walks).select(origin, "a", F.lit(0).alias("distance"), "mass", F.lit(0).cast("long").alias("visits"), start.alias("reasons")), "hop")
     visited = hop
-    is_open = (F.col("relation") != "calls") | (F.col("confidence") >= F.col("min_confidence"))
+    is_open = (F.col("relation") != "calls") | (F.col("confidence") >= F.col("floor"))
     for h in range(1, max((r.hops for r in rows), default=0) + 1):
         held = hop.count()
         if not held:
             break
         small = F.broadcast if held <= BROADCAST_ROWS else lambda df: df
-        front = hop.join(walks.filter(F.col("most") >= h), "walk").select("issue_id", "walk", "min_confidence", "include_modules", "a", "mass")
-        degree = steps.join(small(front.select("a", "min_confidence").distinct()), "a").filter(is_open).groupBy("min_confidence", "a").agg(F.count("*").alias("degree"))
-        front = front.join(small(degree), ["min_confidence", "a"]).withColumn("mass", F.col("mass") * decay / F.col("degree"))
-        moved = steps.join(small(front), "a").filter(is_open & (F.col("include_modules") | ~F.col("is_module")))
-        moved = moved.select("issue_id", "walk", "b", (F.col("mass") * F.col("weight")).alias("part"), "relation", "back", "a").filter(F.col("part") > LEAST_MASS)
-        fresh = moved.join(few(visited.select("issue_id", "walk", F.col("a").alias("b"))), ["issue_id", "walk", "b"], "left_anti")
-        found = fresh.groupBy("issue_id", "walk", "b").agg(F.sum("part").alias("mass"), F.count("*").alias("visits"))
+        front = hop.withColumn("walk", walk).join(walks.filter(F.col("most") >= h), "walk").select("origin", "floor", "include_modules", "a", "mass")
+        degree = graph.at("degrees", hop, "a").join(small(front.select("a", "floor").distinct()), "a").filter(F.col("tier").isNull() | (F.col("tier") >= F.col("floor"))).groupBy("floor", "a").agg(F.sum("n").alias("degree"))
+        front = front.join(small(degree), ["floor", "a"]).withColumn("mass", F.col("mass") * decay / F.col("degree"))
+        moved = graph.at("steps", hop, "a").join(small(front), "a").filter(is_open & (F.col("include_modules") | ~F.col("is_module")))
+        moved = moved.select("origin", "b", (F.col("mass") * F.col("weight")).alias("part"), "relation", "back", "a").filter(F.col("part") > LEAST_MASS)
+        before = few(visited.select("origin", F.col("a").alias("b")))
+        # summed first: where the visited are many, the rows then lie as their join needs them
+        found = moved.groupBy("origin", "b").agg(F.sum("part").alias("mass"), F.count("*").alias("visits")).join(before, ["origin", "b"], "left_anti")
         if reasons:  # only the largest contributions are gathered, whatever the number of those to a hub
-            told = fresh.join(named.select(F.col("id").alias("a"), label(F.col("node")).alias("from")), "a")
-            told = told.select("issue_id", "walk", "b", "part", F.concat("relation", F.when(F.col("back"), " from ").otherwise(" to "), "from", F.lit(f" @{h}")).alias("reason"))
-            order = F.row_number().over(Window.partitionBy("issue_id", "walk", "b").orderBy(F.desc("part"), "reason"))
-            top = told.withColumn("n", order).filter(F.col("n") <= REASONS).groupBy("issue_id", "walk", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "reason"))), lambda r: r["reason"]).alias("reasons"))
-            found = found.join(top, ["issue_id", "walk", "b"])
+            fresh = moved.join(before, ["origin", "b"], "left_anti")
+            told = fresh.join(few(graph.at("nodes", hop, "a")).select(F.col("id").alias("a"), label(F.col("node")).alias("from")), "a")
+            told = told.select("origin", "b", "part", F.concat("relation", F.when(F.col("back"), " from ").otherwise(" to "), "from", F.lit(f" @{h}")).alias("reason"))
+            order = F.row_number().over(Window.partitionBy("origin", "b").orderBy(F.desc("part"), "reason"))
+            top = told.withColumn("n", order).filter(F.col("n") <= REASONS).groupBy("origin", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "reason"))), lambda r: r["reason"]).alias("reasons"))
+            found = found.join(top, ["origin", "b"])
         else:
             found = found.withColumn("reasons", start)
-        hop = materialise(found.select("issue_id", "walk", F.col("b").alias("a"), F.lit(h).alias("distance"), "mass", "visits", "reasons"), "hop")
+        hop = materialise(found.select("origin", F.col("b").alias("a"), F.lit(h).alias("distance"), "mass", "visits", "reasons"), "hop")
         visited = visited.unionByName(hop)
-    reached = visited.join(grid, "walk").filter(F.col("distance") <= F.col("hops")).join(named.select(F.col("id").alias("a"), "node"), "a")
+    reached = visited.withColumn("walk", walk).join(grid, "walk").filter(F.col("distance") <= F.col("hops"))
+    reached = reached.withColumn("issue", F.expr(f"origin div {len(ways)}")).join(few(issues), "issue").join(few(graph.at("nodes", visited, "a")).select(F.col("id").alias("a"), "node"), "a")
     return reached.select("issue_id", "config", "node", "distance", "mass", "visits", "reasons")
 
 
 def ranked(reached: DataFrame) -> DataFrame:
-    """``spread``'s rows with score (six digits) and rank: seeds first, then by score, ties by node."""
-    scored = reached.withColumn("score", rounded(F.col("mass")))
-    order = Window.partitionBy("issue_id", "config").orderBy((F.col("distance") != 0).cast("int"), F.desc("score"), "node")
-    return scored.withColumn("rank", F.row_number().over(order))
+    """``spread``'s rows with score (six digits) and rank: seeds first, then by score, ties by node; no issue is one task's."""
+    scored = reached.withColumn("score", rounded(F.col("mass"))).withColumn("_far", (F.col("distance") != 0).cast("int"))
+    return placed(scored, ["issue_id", "config"], ["_far", F.desc("score"), "node"], "rank").drop("_far")
 
 
 def spread_stats(reached: DataFrame, seeds: DataFrame) -> DataFrame:

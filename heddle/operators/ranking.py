@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import few, materialise
 from .order import placed
-from .propagate import few
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

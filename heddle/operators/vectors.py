@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
-from .propagate import few
+from ..storage import few, materialise
 from .ranking import top
 
 BLOCK = 4096

@@ -81,10 +81,15 @@ class Snapshots:
             raise KeyError(f"there is no version {version}")
         return Snapshot(self.spark)
 
-    def write(self, name: str, rows: DataFrame, key: str) -> tuple[str, list[str], str]:
-        """Write buckets of a table under a new folder: (folder, buckets in it, schema). Not visible before a commit."""
+    def write(self, name: str, rows: DataFrame, key: str, files: int = 1) -> tuple[str, list[str], str]:
+        """Write buckets of a table under a new folder: (folder, buckets in it, schema). Not visible before a commit.
+
+        With ``files`` over one a bucket is cut by ranges of its key into about as many files, so that a bucket is not one
+        task's; rows are in the order of the key, so that readers of a few keys skip the other files and row groups."""
         folder = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
-        rows.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        dealt = rows.withColumn("bucket", bucket_of(F.col(key)))
+        dealt = dealt.repartition("bucket") if files == 1 else dealt.repartitionByRange(files * BUCKETS, "bucket", key)
+        dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(folder)
         buckets = [n.split("=")[1] for n in self._names(folder[len(self.path) + 1 :]) if n.startswith("bucket=")]
         return folder, buckets, rows.schema.toDDL()
 

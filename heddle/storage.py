@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+#: Rows of a kept table that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +45,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, at_most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it is a kept table of few rows."""
+    return F.broadcast(df) if df.count() <= at_most else df
