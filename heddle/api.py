@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import gold_files, literal_candidates
@@ -76,12 +76,23 @@ def blast_radius(spark: SparkSession, repo: str, issue: str, hops: int = 3, min_
     }
 
 
-def _asked(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+def asked(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Issues (issue_id, repo_id, text) and gold files (issue_id, path) of instances; a snapshot is named as its instance."""
     issue = F.col("instance_id").alias("issue_id")
     return instances.select(issue, F.col("instance_id").alias("repo_id"), F.col("problem_statement").alias("text")), instances.select(issue, F.explode(gold_files(F.col("patch"))).alias("path"))
 
 
+def as_files(ranked: DataFrame, place: str, mode: Column, kind: int = 0) -> DataFrame:
+    """issue_id, mode, path, at of rows with a path: of two kinds of rows the lower comes first."""
+    return ranked.select("issue_id", mode.alias("mode"), "path", F.struct(F.lit(kind).alias("kind"), F.col(place).cast("int").alias("at")).alias("at"))
+
+
+def evidence(issues: DataFrame, graph: CodeGraph) -> DataFrame:
+    """``as_files`` rows of mode seeds: the files that an issue names, then those of its seeds, without the graph's steps."""
+    seeds = extract_seeds(issues, graph).join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"])
+    return as_files(seeds, "place", F.lit("seeds"), 1).unionByName(as_files(named_files(issues, graph), "named_at", F.lit("seeds")))
+
+
 def evaluate_instances(instances: DataFrame, files: DataFrame, settings: list[tuple[str, int, float]] | None = None, graph: CodeGraph | None = None, embedding: EmbeddingRetriever | None = None) -> DataFrame:
     """instance_id, repo, mode, k, recall, any_hit: file recall of the graph's ranking under each setting (mode, hops,
     least confidence), of its seeds alone (mode seeds) and, if a retriever is given, of its chunks (mode embedding).
@@ -89,16 +100,14 @@ def evaluate_instances(instances: DataFrame, files: DataFrame, settings: list[tu
     ``instances``: instance_id, repo, problem_statement, patch. ``files``: repo_id (an instance's snapshot, named as its
     instance_id), path, source. All instances and settings are one set of jobs; each has gold from its patch.
     """
-    issues, gold = _asked(instances)
+    issues, gold = asked(instances)
     graph = graph or build_graph(files)
     settings = settings or [("graph", 3, 0.0)]
-    spread = GraphRetriever(graph=graph).rank_settings(issues, files, settings).select("issue_id", F.col("config").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("position").alias("at")).alias("at"))
-    seeds = extract_seeds(issues, graph).join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"]).select("issue_id", F.lit("seeds").alias("mode"), "path", F.struct(F.lit(1).alias("kind"), F.col("place").cast("int").alias("at")).alias("at"))
-    said = named_files(issues, graph).select("issue_id", F.lit("seeds").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("named_at").cast("int").alias("at")).alias("at"))
-    rows = spread.unionByName(seeds).unionByName(said)
+    spread = GraphRetriever(graph=graph).rank_settings(issues, files, settings)
+    rows = as_files(spread, "position", F.col("config")).unionByName(evidence(issues, graph))
     modes = [*(s[0] for s in settings), "seeds"]
     if embedding is not None:
-        near = embedding.rank(issues, files).select("issue_id", F.lit("embedding").alias("mode"), "path", F.struct(F.lit(0).alias("kind"), F.col("position").alias("at")).alias("at"))
+        near = as_files(embedding.rank(issues, files), "position", F.lit("embedding"))
         rows, modes = rows.unionByName(near), [*modes, "embedding"]
     order = ranking.first_appearance(rows, ["issue_id", "mode"], "path", "at").withColumnRenamed("position", "rank")
     wanted = gold.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
@@ -109,7 +118,7 @@ def evaluate_instances(instances: DataFrame, files: DataFrame, settings: list[tu
 def literal_probe(instances: DataFrame, files: DataFrame, at_most: int = literals.USEFUL_FILES) -> DataFrame:
     """instance_id, gold, candidates, useful_candidates, gold_reached, all sorted lists: whether the literals of an issue
     that stand in some of its snapshot's files, but in no more than ``at_most``, lead to the files of its patch."""
-    issues, gold = _asked(instances)
+    issues, gold = asked(instances)
     said = issues.select("issue_id", F.explode(literal_candidates(F.col("text"))).alias("literal"))
     python = files.filter(F.endswith("path", F.lit(".py")))
     place = F.concat_ws("\n", "repo_id", "path")

@@ -1,4 +1,4 @@
-"""Command line: resolve, blast, attempt, evaluate, probe, graph, modes, score."""
+"""Command line: resolve, blast, attempt, evaluate, probe, ablation, structure, diversity, example, graph, modes, score."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, probes
 from .operators import evaluate, render
 from .operators.resolve import build_graph
 from .operators.retrieve import BUDGET, MODES, EmbeddingRetriever, K
@@ -39,12 +39,22 @@ def _parser() -> argparse.ArgumentParser:
     attempt.add_argument("issue")
     attempt.add_argument("--mode", default="graph", choices=sorted(MODES))
     attempt.add_argument("--out", help="where the placeholder goes")
-    for name, what in (("evaluate", "recall of the graph, its seeds and the embedding"), ("probe", "whether literals lead to the files of a patch")):
+    questions = [
+        ("evaluate", "recall of the graph, its seeds and the embedding"),
+        ("probe", "whether literals lead to the files of a patch"),
+        ("ablation", "recall under seven settings and without the graph"),
+        ("structure", "where the graph's files first differ from the issue's own"),
+        ("diversity", "what a budget of snippets leaves of the ranked files"),
+        ("example", "how the ranking of one instance came about"),
+    ]
+    for name, what in questions:
         over = commands.add_parser(name, help=what)
         over.add_argument("instances", help="a JSON list of instances")
         over.add_argument("trees", help="a folder with one tree for each instance, named as it")
         over.add_argument("--repos", action="append", default=[])
         over.add_argument("--out")
+        if name == "example":
+            over.add_argument("--instance", required=True)
     graph = commands.add_parser("graph", help="imports of a repository")
     graph.add_argument("repo")
     graph.add_argument("--format", default="summary", choices=("summary", "mermaid", "dot"))
@@ -85,15 +95,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         result = api.resolve(spark, args.repo, text, args.mode)
         print("\n".join(f"{i}. {s.name}: {s.detail}" for i, s in enumerate(result.steps, 1)))
         _give(result.patch, args.out)
-    elif args.command in ("evaluate", "probe"):
+    elif args.command in ("evaluate", "probe", "ablation", "structure", "diversity", "example"):
         instances, files = read_instances(spark, args.instances, args.repos or None), materialise(read_trees(spark, args.trees), "files")
         if args.command == "probe":
             found = api.literal_probe(instances, files)
             _give("\n".join(found.toJSON().toLocalIterator()), args.out)
             return 0
+        if args.command == "example":
+            _give(render.example_text(probes.worked_example(instances, files, args.instance)), args.out)
+            return 0
+        if args.command in ("structure", "diversity"):
+            ask, sum_up = (probes.structure_probe, probes.structure_summary) if args.command == "structure" else (probes.diversity_probe, probes.diversity_summary)
+            rows = materialise(ask(instances, files), args.command)
+            print(json.dumps(sum_up(rows).first().asDict()))
+            if args.out:
+                write_json_list(rows, args.out)
+            return 0
+        if args.command == "ablation":
+            rows = materialise(probes.ablation(instances, files), "ablation")
+            summary = evaluate.summarise(rows, ["mode"])
+            print("\n".join(render.settings_table("Settings", summary, rows.groupBy("repo").agg(F.countDistinct("instance_id").alias("instances")))))
+            if args.out:
+                write_evaluation(rows, summary, {"instances": args.instances, "trees": args.trees, "repos": args.repos}, args.out)
+            return 0
         rows = materialise(api.evaluate_instances(instances, files, embedding=EmbeddingRetriever()), "evaluation")
         summary = evaluate.summarise(rows, ["mode"])
-        print(render.report(summary, repos=rows.groupBy("repo").agg(F.countDistinct("instance_id").alias("instances"))))
+        print(render.report(summary, repos=rows.groupBy("repo").agg(F.countDistinct("instance_id").alias("instances")), by_repo=evaluate.summarise(rows, ["repo", "mode"])))
         if args.out:
             write_evaluation(rows, summary, {"instances": args.instances, "trees": args.trees, "repos": args.repos}, args.out)
     elif args.command == "graph":

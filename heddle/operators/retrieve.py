@@ -26,6 +26,12 @@ def place_of(node: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(node, r"^[^|]*\|", ""), "::", ":")
 
 
+def keyed(graph: CodeGraph) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes of all repositories, as ``propagate`` and ``GraphStore.put`` take them: names start with ``repo_id|``."""
+    key = lambda c: F.concat_ws("|", "repo_id", c).alias(c)
+    return graph.edges.select(key("src"), key("dst"), "relation", "confidence"), graph.nodes.select(key("node"), (F.col("qualname") == MODULE_SYMBOL).alias("is_module"))
+
+
 class Retriever(Protocol):
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
         """Snippets for every issue (issue_id, repo_id, text) from its repository's files (repo_id, path, source)."""
@@ -42,6 +48,10 @@ class GraphRetriever:
     graph: CodeGraph | None = None
     #: After ``retrieve``, one row for each issue: see ``context_statistics``.
     statistics: DataFrame | None = None
+    #: After ``retrieve``, ``rank``'s rows as they were kept.
+    ranking: DataFrame | None = None
+    #: The graph as it is walked, keyed by ``keyed``; made when first needed, or opened from a ``GraphStore``.
+    adjacency: propagate.Adjacency | None = None
 
     def rank(self, issues: DataFrame, files: DataFrame) -> DataFrame:
         """issue_id, repo_id, node, path, score, distance, reasons and position, the order before files take turns."""
@@ -53,11 +63,10 @@ class GraphRetriever:
         self.graph = graph
         seeds = materialise(extract_seeds(issues, graph), "seeds")
         key = lambda c: F.concat_ws("|", "repo_id", c)
-        edges = graph.edges.select(key("src").alias("src"), key("dst").alias("dst"), "relation", "confidence")
-        nodes = graph.nodes.select(key("node").alias("node"), (F.col("qualname") == MODULE_SYMBOL).alias("is_module"))
+        self.adjacency = self.adjacency or propagate.prepared(*keyed(graph))
         given = seeds.select(key("issue_id").alias("issue_id"), key("node").alias("node"), "weight")
         grid = propagate.configs(issues.sparkSession, [(*s, False) for s in settings])
-        reached = propagate.ranked(propagate.spread(edges, nodes, given, grid, label=place_of))
+        reached = propagate.ranked(propagate.spread_over(self.adjacency, given, grid, label=place_of))
         bare = lambda c: F.regexp_replace(c, r"^[^|]*\|", "")
         ranked = reached.select("config", bare("issue_id").alias("issue_id"), F.regexp_extract("issue_id", r"^([^|]*)\|", 1).alias("repo_id"), bare("node").alias("node"), "score", "distance", "reasons", "rank")
         ranked = ranked.join(graph.nodes.select("repo_id", "node", "path"), ["repo_id", "node"])
@@ -68,7 +77,8 @@ class GraphRetriever:
         return ranking.evidence_first(ranked.unionByName(modules), named, ["config", "issue_id", "repo_id"])
 
     def retrieve(self, issues: DataFrame, files: DataFrame, *, budget_tokens: int = BUDGET) -> DataFrame:
-        ranked = materialise(self.rank(issues, files), "ranked").withColumn("graph_rank", F.col("position")).drop("position")
+        self.ranking = materialise(self.rank(issues, files), "ranked")
+        ranked = self.ranking.withColumnRenamed("position", "graph_rank")
         order = ranking.file_diversity(ranked, ["issue_id", "repo_id"], rank="graph_rank")
         spans = order.join(self.graph.nodes.select("repo_id", "node", "qualname", "start_line", "end_line"), ["repo_id", "node"])
         lines = files.filter("source IS NOT NULL").select("repo_id", "path", F.split(F.regexp_replace("source", r"\n$", ""), "\n", -1).alias("lines"))
