@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.snapshots import BUCKETS, Snapshot, Snapshots, bucket_of
 from ..storage import materialise
-from .propagate import Adjacency, counted_steps, numbered_steps
+from .propagate import Adjacency, between_known, counted_steps, numbered_steps, weighed
 
 #: Up to so many ids are looked up by name, which skips row groups; more of them by their buckets alone.
 LISTED = 1000
@@ -49,9 +49,13 @@ class GraphStore:
         """Keep ``edges`` (src, dst, relation, confidence) between ``nodes`` (node, is_module) as the newest version: its
         number. Raises ``snapshots.Conflict`` if another writer commits meanwhile; readers of older versions go on."""
         base = self.snapshots.open()
-        number = F.monotonically_increasing_id() * BUCKETS + bucket_of(F.col("node"))
+        numbered = "id" in nodes.columns
+        number = (F.col("id") if numbered else F.monotonically_increasing_id()) * BUCKETS + bucket_of(F.col("node"))
         known = materialise(nodes.select(number.alias("id"), "node", "is_module"), "nodes")
-        steps = materialise(numbered_steps(edges, known), "steps")
+        if numbered:
+            edges = edges.withColumns({f"{end}_id": F.col(f"{end}_id") * BUCKETS + bucket_of(F.col(end)) for end in ("src", "dst")})
+        keep = lambda df: materialise(df, "steps")
+        steps = weighed(between_known(keep(numbered_steps(edges, known)), known, edges, keep))
         degrees = materialise(counted_steps(steps), "degrees")
         files = max(1, -(-steps.count() // (FILE_ROWS * BUCKETS)))
         tiers = degrees.filter("tier IS NOT NULL").select(F.col("tier").alias("confidence")).distinct()
