@@ -135,6 +135,37 @@ def test_far_texts_are_rejected(spark):
     assert rejected.tolist() == [True, False] and lang[1] == "en" and score[1] > 0.9
 
 
+def test_curve_and_usual_ranges_come_from_every_text(spark):
+    """More texts than a sample of 2000 held, rows of one id among them: as a plain fit over all of them gives."""
+    rows = [(i if i % 50 else 7, t, lang) for i, t, lang in texts(3500, 8, 6)]
+    models = li.train(frame(spark, rows))
+    learned = [(t, lang) for i, t, lang in rows if not out(i)]
+    lead, low, margin, n = models.best(*models.cross_entropies([t for t, _ in learned]))
+    own = np.array([models.languages.index(lang) for _, lang in learned])
+    right = own == lead
+    assert len(learned) > 2500 and 0 < right.sum() < len(learned)
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    target = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
+    ridge = 1e-3 * np.diag([margin.std() ** 2, 1.0])
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ w)
+    assert np.allclose(models.curve, w, rtol=1e-5)
+    for i in range(len(models.languages)):
+        mine = right & (own == i)
+        mean = np.average(low[mine], weights=n[mine])
+        assert np.allclose(models.usual[i], [mean, max(1.0, np.sqrt(((low[mine] - mean) ** 2 * n[mine]).mean()))], rtol=1e-5)
+
+
+def test_measuring_once_is_training_and_predicting(spark):
+    docs = frame(spark, [*texts(200, 9), (900, None, "en"), (901, "the of", None), (None, "der", "de"), (902, "12", "ru")])
+    for most in (300, li.RUNS):
+        got, want = (sorted(df.collect(), key=str) for df in (li.identify(docs, most), li.predict(docs, li.train(docs, most))))
+        assert [(r.doc_id, r.lang_pred, r.held_out, r.rejected) for r in got] == [(r.doc_id, r.lang_pred, r.held_out, r.rejected) for r in want]
+        assert np.allclose([(r.score, r.cross_entropy) for r in got], [(r.score, r.cross_entropy) for r in want], rtol=1e-7)
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, "the of", None), (2, "der", None)])
     assert [(r.lang_pred, r.score) for r in li.predict(docs, li.train(docs)).collect()] == [("und", 0.0)] * 2
