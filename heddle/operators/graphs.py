@@ -16,10 +16,10 @@ def last_edge_wins(edges: DataFrame, order: list[str], carried: list[str]) -> Da
     """One edge for each (src, dst, relation), with what the last of its rows carries.
 
     ``order`` must be total: rows of an edge that are equal in it must be equal in ``carried`` too, or else which of them
-    is taken is left open. Nulls come first. One column of a plain type is the fastest.
+    is taken is left open. Nulls come first. One column of a plain type is the fastest, above all where it is what is carried.
     """
     if len(order) == 1:  # one plain order: buffers of fixed width, which hash aggregation can hold
-        return edges.groupBy("src", "dst", "relation").agg(*(F.max_by(c, order[0]).alias(c) for c in carried))
+        return edges.groupBy("src", "dst", "relation").agg(*(F.max(c).alias(c) if c == order[0] else F.max_by(c, order[0]).alias(c) for c in carried))
     last = F.max_by(F.struct(*carried), F.struct(*order))
     return edges.groupBy("src", "dst", "relation").agg(last.alias("last")).select("src", "dst", "relation", *(F.col(f"last.{c}").alias(c) for c in carried))
 

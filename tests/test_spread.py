@@ -1,8 +1,10 @@
 """The spread over numbered graphs: the same as over names, side by side or row by row, and steps that stay where they lie."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from heddle.operators import propagate
 
@@ -48,3 +50,48 @@ def test_first_ranks_are_the_ranks(spark):
     reached = propagate.spread(edges, nodes, seeds.filter("issue_id IS NOT NULL"), propagate.configs(spark, SETTINGS), reasons=False)
     picked = lambda df: sorted((r.issue_id, r.config, r.node, r["rank"]) for r in df.filter("rank <= 5").collect())
     assert picked(propagate.ranked(reached, at_most=5)) == picked(propagate.ranked(reached))
+
+
+def large(spark, monkeypatch):
+    monkeypatch.setattr(propagate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(propagate, "BLOCK_BITS", 4)
+    return graph(spark)
+
+
+def test_steps_of_a_large_graph_lie_by_blocks(spark, monkeypatch):
+    """Neighbouring numbers lie together, and a frontier too long to broadcast comes to the steps, however many partitions shuffles have."""
+    edges, nodes, _ = large(spark, monkeypatch)
+    with propagate.planned_with(spark, {"spark.sql.shuffle.partitions": "64"}):
+        whole = propagate.prepared(edges, nodes)
+        front = whole.beside(whole.nodes.select(F.col("id").alias("a"), F.lit(1.0).alias("mass")))
+        with whole.planned(spark):
+            plan = whole.steps.join(front.hint("shuffle_hash"), whole.lies)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan
+        where = whole.steps.select("a", F.input_file_name().alias("file")).distinct().collect()
+    files = {}
+    for r in where:
+        files.setdefault(r.a >> 4, set()).add(r.file)
+    assert len(files) > 10 and all(len(f) == 1 for f in files.values())
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_what_a_large_graph_shuffles_goes(spark, monkeypatch):
+    edges, nodes, seeds = large(spark, monkeypatch)
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffled = lambda: {n for n in (str(files().apply(i).getName()) for i in range(files().size())) if n.startswith("shuffle_") and n.endswith(".data")}
+    before = shuffled()
+    propagate.prepared(edges, nodes)
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+
+
+@pytest.mark.parametrize("at_once", [0, 400_000])
+def test_without_visits_the_rest_is_the_same(spark, monkeypatch, at_once):
+    monkeypatch.setattr(propagate, "BROADCAST_ROWS", at_once)
+    edges, nodes, seeds = graph(spark)
+    run = lambda visits: propagate.ranked(propagate.spread(edges, nodes, seeds.filter("issue_id IS NOT NULL"), propagate.configs(spark, SETTINGS), reasons=False, visits=visits), without=("visits", "reasons"))
+    got, want = (sorted((r.issue_id, r.config, r.node, r.distance, r["rank"], round(r.mass, 12)) for r in run(v).collect()) for v in (False, True))
+    assert got == want and {r[3] for r in got} == {0, 1, 2, 3}
