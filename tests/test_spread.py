@@ -1,5 +1,6 @@
 """The spread over numbered graphs: the same as over names, side by side or row by row, and steps that stay where they lie."""
 
+import os
 import random
 import time
 
@@ -77,9 +78,11 @@ def test_steps_of_a_large_graph_lie_by_blocks(spark, monkeypatch):
 
 def test_what_a_large_graph_shuffles_goes(spark, monkeypatch):
     edges, nodes, seeds = large(spark, monkeypatch)
-    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-    shuffled = lambda: {n for n in (str(files().apply(i).getName()) for i in range(files().size())) if n.startswith("shuffle_") and n.endswith(".data")}
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {n for d in dirs for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+    nodes.repartition(3, "node").count()
     before = shuffled()
+    assert before
     propagate.prepared(edges, nodes)
     for _ in range(100):
         if not shuffled() - before:
